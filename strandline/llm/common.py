@@ -88,3 +88,29 @@ def tuned(spark: SparkSession) -> SparkSession:
     """Bound the bytes of an Arrow batch, so a run of very long texts can't swell a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     return spark
+
+
+def one_row_per_id(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """``id_text(docs)`` with one row for each non-null doc_id.
+
+    Rows that share a doc_id become one document: their distinct texts, in order, joined by a line end. Texts are only
+    moved where some doc_id does repeat, which is found out from the ids alone.
+    """
+    rows = id_text(docs).where("doc_id is not null")
+    again = rows.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again"))
+    if again.limit(1).count() == 0:
+        return rows
+    again = written(spark, again, "repeated")
+    on = F.col("doc_id") == F.col("again")
+    merged = rows.join(again, on, "left_semi").groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("text")), "\n").alias("text"))
+    return rows.join(again, on, "left_anti").unionByName(merged)
+
+
+def without_ids(spark: SparkSession, docs: DataFrame, gone: DataFrame, limit: int = 1 << 20) -> DataFrame:
+    """Rows of ``docs`` whose doc_id isn't in ``gone`` (one long column, no nulls); a null doc_id stays.
+
+    Up to ``limit`` ids are broadcast; beyond it, both sides are shuffled.
+    """
+    ids = gone.toDF("__gone")
+    small = ids.limit(limit + 1).count() <= limit
+    return docs.join(F.broadcast(ids) if small else ids, docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")

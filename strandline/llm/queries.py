@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import exact_dedup, langid, sharding
+from strandline.llm import exact_dedup, langid, ngram_join, sharding
 from strandline.llm.common import table, tuned
 
 
@@ -14,6 +14,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(tuned(spark), table(spark, sf_dir, "documents"))
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_pairs(tuned(spark), table(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_keys(tuned(spark), table(spark, sf_dir, "documents"))
 
@@ -23,7 +27,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_exact_dedup, op9_sharding, op10_language_id)}
+    return {f.__name__: f for f in (op5_exact_dedup, op8_ngram_jaccard_join, op9_sharding, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -33,4 +37,12 @@ def oracle_sql() -> dict[str, str]:
             SELECT min(doc_id) AS doc_id, count(*) AS copies, bool_or(old) AS historical, sha256(text) AS digest
             FROM d WHERE text IS NOT NULL GROUP BY text
             UNION ALL SELECT doc_id, 1, false, NULL FROM d WHERE text IS NULL""",
+        "op8_ngram_jaccard_join": r"""
+            WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[0-9a-z\x{80}-\x{10FFFF}]+') AS ws FROM documents),
+            g AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 2], ' ') AS gram
+                  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+            s AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+            c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL)
+            SELECT a AS doc_id_a, b AS doc_id_b, common / (x.n + y.n - common) AS jaccard
+            FROM c JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE common >= 0.7 * (x.n + y.n - common) - 1e-9""",
     }
