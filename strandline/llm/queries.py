@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import decontamination, exact_dedup, langid, ngram_join, sharding
+from strandline.llm import decontamination, exact_dedup, langid, ngram_join, pieces, sharding
 from strandline.llm.common import table, tuned
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.sampled_pieces(tuned(spark), table(spark, sf_dir, "documents"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated_spans(tuned(spark), table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -31,7 +35,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_decontamination, op5_exact_dedup, op8_ngram_jaccard_join, op9_sharding, op10_language_id)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_decontamination, op5_exact_dedup, op8_ngram_jaccard_join, op9_sharding, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
