@@ -47,7 +47,9 @@ class Vocabulary:
         weight = np.full(n, -np.inf)
         scores = np.array([sp.get_score(i) for i in range(n)])
         usual = [i for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
-        ranks = len(usual) > 1 and np.array_equal(np.sort(-scores[usual]), np.arange(len(usual)) + (-scores[usual]).min())
+        real = scores[usual][scores[usual] > -1e8]  # a BPE model gives -1e9 to pieces it never merges
+        ranks = len(real) > 1 and len(np.unique(real)) == len(real) and (real == np.rint(real)).all()
+        scores = np.maximum(scores, real.min() - 1 if len(real) else -1.0)
         for i in range(n):
             if sp.is_byte(i):
                 b = int(sp.id_to_piece(i)[3:5], 16)
