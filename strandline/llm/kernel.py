@@ -68,6 +68,14 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE) -> I
         i = j
 
 
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of data[start:end] for each pair of bounds."""
+    n = len(data)
+    sums = np.zeros(n + 1, U)
+    np.cumsum((data.astype(U) + U(1)) * powers(BASE, n), out=sums[1:])
+    return mix((sums[end] - sums[start]) * powers(BASE_INV, n + 1)[start])
+
+
 class Words:
     """Words (runs of letters and digits, lower-cased) of some texts.
 
@@ -93,9 +101,7 @@ class Words:
                 start, end = np.sort(np.concatenate([start, inside])), np.sort(np.concatenate([end, inside]))
         self.start, self.end = start, end
         self.first = np.searchsorted(start, off)
-        sums = np.zeros(n + 1, U)
-        np.cumsum((self.data.astype(U) + U(1)) * powers(BASE, n), out=sums[1:])
-        self.h = mix((sums[end] - sums[start]) * powers(BASE_INV, n + 1)[start])
+        self.h = word_hashes(self.data, start, end)
 
     def count(self) -> np.ndarray:
         return np.diff(self.first)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import decontamination, exact_dedup, langid, ngram_join, pieces, sharding
+from strandline.llm import decontamination, exact_dedup, langid, ngram_join, pieces, sharding, substring_dedup
 from strandline.llm.common import table, tuned
 
 
@@ -22,6 +22,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(tuned(spark), table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(tuned(spark), table(spark, sf_dir, "documents"))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_pairs(tuned(spark), table(spark, sf_dir, "documents"))
 
@@ -35,7 +39,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_decontamination, op5_exact_dedup, op8_ngram_jaccard_join, op9_sharding, op10_language_id)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_decontamination, op5_exact_dedup, op7_substring_dedup, op8_ngram_jaccard_join, op9_sharding, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -45,6 +49,14 @@ def oracle_sql() -> dict[str, str]:
             SELECT min(doc_id) AS doc_id, count(*) AS copies, bool_or(old) AS historical, sha256(text) AS digest
             FROM d WHERE text IS NOT NULL GROUP BY text
             UNION ALL SELECT doc_id, 1, false, NULL FROM d WHERE text IS NULL""",
+        "op7_substring_dedup": r"""
+            WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[0-9a-z\x{80}-\x{10FFFF}]+') AS ws FROM documents),
+            k AS (SELECT doc_id, i, sha256(array_to_string(ws[i + 1:i + 50], ' ')) AS win
+                  FROM (SELECT doc_id, ws, unnest(range(0, len(ws) - 49)) AS i FROM w WHERE len(ws) >= 50)),
+            c AS (SELECT doc_id, i, count(*) OVER (PARTITION BY win) AS n, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS r FROM k),
+            g AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run FROM c WHERE n > 1)
+            SELECT doc_id, min(i) AS start_word, max(i) - min(i) + 50 AS n_words, count(*) AS windows, count(*) FILTER (WHERE r = 1) AS first_windows, max(n) AS max_copies
+            FROM g GROUP BY doc_id, run""",
         "op8_ngram_jaccard_join": r"""
             WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[0-9a-z\x{80}-\x{10FFFF}]+') AS ws FROM documents),
             g AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 2], ' ') AS gram
