@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import decontamination, exact_dedup, langid, ngram_join, pieces, sharding, substring_dedup
+from strandline.llm import decontamination, exact_dedup, langid, line_dedup, ngram_join, pieces, sharding, substring_dedup, warc
 from strandline.llm.common import table, tuned
 
 
@@ -18,10 +18,18 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated_spans(tuned(spark), table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(tuned(spark), table(spark, sf_dir, "pages"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(tuned(spark), table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(tuned(spark), table(spark, sf_dir, "documents"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_passages(tuned(spark), table(spark, sf_dir, "documents"))
 
@@ -39,11 +47,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_decontamination, op5_exact_dedup, op7_substring_dedup, op8_ngram_jaccard_join, op9_sharding, op10_language_id)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_decontamination, op3_warc, op5_exact_dedup, op6_line_dedup, op7_substring_dedup, op8_ngram_jaccard_join, op9_sharding, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_warc": "SELECT page_id, url, html FROM pages",
         "op5_exact_dedup": """
             WITH d AS (SELECT doc_id, text, doc_id <= (SELECT (min(doc_id) + max(doc_id)) // 2 FROM documents WHERE text IS NOT NULL) AS old FROM documents)
             SELECT min(doc_id) AS doc_id, count(*) AS copies, bool_or(old) AS historical, sha256(text) AS digest
