@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import decontamination, exact_dedup, langid, line_dedup, ngram_join, pieces, sharding, substring_dedup, warc
+from strandline.llm import decontamination, exact_dedup, langid, line_dedup, ngram_join, pieces, pii, sharding, substring_dedup, warc
 from strandline.llm.common import table, tuned
 
 
@@ -22,6 +22,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(tuned(spark), table(spark, sf_dir, "pages"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(tuned(spark), table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(tuned(spark), table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_decontamination, op3_warc, op5_exact_dedup, op6_line_dedup, op7_substring_dedup, op8_ngram_jaccard_join, op9_sharding, op10_language_id)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_decontamination, op3_warc, op4_pii, op5_exact_dedup, op6_line_dedup, op7_substring_dedup, op8_ngram_jaccard_join, op9_sharding, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
