@@ -50,6 +50,12 @@ password = {S:9c8b45435718dcc700c184a7e303cdc64c6a8f7f} und nicht mehr
 TOKEN = "{S:9233A8ECF7C5B09FE5949719B6B82BC439E9329B}"!! AND!! SO!! ON!!
 api_key="{S:27660c51feb63980dfaee7464f96210544c03fc3}" in the log
 token "{S:cb1a9fee807a05366fcb8b6c95c7c565ede51a72}" expired
+{E:one@host.example.org} {E:two.b@host.example.org}
+{E:x.1@mail.example.net} {E:y.2@mail.example.net}, {E:z.3@mail.example.net}
+{I:203.0.113.77} {I:198.51.100.4} {I:10.20.30.40}
+{C:4111222233334444} {C:5500666677778888}
+{P:555-0121} {E:q@host.example.org} {I:192.0.2.200}
+{I:172.16.4.99} {C:6011000990139424} {P:+1 (650) 555-0111}
 The house was built in 1987 and sold in 2004.
 It cost 12,500 euros, or 13.750 dollars, in 1999.
 Version 2.0 of the program came out on 12 May 2011.
