@@ -30,10 +30,13 @@ from pyspark.sql import functions as F
 from strandline.llm import common, kernel
 from strandline.llm.kernel import U
 
-N, TAU, ORDERS, BLOCK = 3, 0.7, 3, 1024
+N, TAU, ORDERS, BLOCK = 3, 0.7, 3, 4096
+ROWS = 512
 BITS = 48
 _PACKED = "bucket int, ids binary, sizes binary, counts binary, tokens binary, dfs binary"
-_DOC = "doc_id long, size int, tokens binary, prefixes array<binary>, keys array<long>"
+_DOC = "doc_id long, size int, tokens binary, marks binary, keys array<long>"
+#: Up to so many documents, their groups are broadcast to the documents' tokens; beyond, both are shuffled.
+PLACED_ROWS = 1 << 20
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -149,25 +152,28 @@ def _cut(tau: float, orders: int):
         mine = keep[doc]
         doc, tokens, df = doc[mine], tokens[mine], df[mine]
         begin = np.cumsum(np.where(keep, live, 0)) - np.where(keep, live, 0)
-        sides = []
+        marks, keys = np.zeros(len(tokens), np.uint8), np.zeros(0, U)
         for k in range(orders):
             order = np.lexsort((kernel.mix(tokens, 100 + k), df, doc))
             rank = np.arange(len(order)) - begin[doc[order]]
-            sides.append(tokens[order][rank < cut[doc[order]]])
-        ranked = tokens[np.lexsort((tokens, doc))]
+            chosen = order[rank < cut[doc[order]]]
+            marks[chosen] |= 1 << k
+            keys = keys if k else tokens[chosen]
+        order = np.lexsort((tokens, doc))
+        tokens, marks = tokens[order], marks[order]
         taken = np.where(keep, np.minimum(cut, live), 0)
         ends = np.cumsum(taken)
         rows = []
         for d in np.flatnonzero(keep):
-            lo, hi = ends[d] - taken[d], ends[d]
-            rows.append({"doc_id": int(own[d]), "size": int(size[d]), "tokens": _pack(ranked[begin[d] : begin[d] + live[d]]), "prefixes": [_pack(s[lo:hi]) for s in sides], "keys": sides[0][lo:hi].astype(np.int64)})
-        schema = pa.schema([("doc_id", pa.int64()), ("size", pa.int32()), ("tokens", pa.binary()), ("prefixes", pa.list_(pa.binary())), ("keys", pa.list_(pa.int64()))])
+            lo, hi = begin[d], begin[d] + live[d]
+            rows.append({"doc_id": int(own[d]), "size": int(size[d]), "tokens": _pack(tokens[lo:hi]), "marks": marks[lo:hi].tobytes(), "keys": keys[ends[d] - taken[d] : ends[d]].astype(np.int64)})
+        schema = pa.schema([("doc_id", pa.int64()), ("size", pa.int32()), ("tokens", pa.binary()), ("marks", pa.binary()), ("keys", pa.list_(pa.int64()))])
         return pa.Table.from_pylist(rows, schema)
 
     return run
 
 
-def _products(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096) -> np.ndarray:
+def _products(left: list[np.ndarray], right: list[np.ndarray], width: int = 1024) -> np.ndarray:
     """Sizes of the intersections of each left with each right set, as a product of 0/1 matrices over slabs of the shared tokens."""
     a, b = np.concatenate(left), np.concatenate(right)
     shared = np.intersect1d(a, b)
@@ -192,30 +198,35 @@ def _products(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096
     return out
 
 
-def _pairs_in(ids, sizes, tokens, prefixes, side, tau: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (a < b) of one cell and their similarities. side: 0 for both blocks the same, else 1 or 2."""
+def _pairs_in(ids, sizes, tokens, marks, side, tau: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (a < b) of one cell and their similarities, some rows of it at a time. side: 0 for both blocks the same, else 1 or 2."""
     one = np.flatnonzero(side != 2)
-    two = one if (side == 0).all() else np.flatnonzero(side == 2)
-    if not len(one) or not len(two):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    mask = np.ones((len(one), len(two)), bool)
-    if two is one:
-        mask = np.triu(mask, 1)
-    small, big = np.minimum(sizes[one][:, None], sizes[two]), np.maximum(sizes[one][:, None], sizes[two])
-    mask &= small >= tau * big - 1e-9
-    for k in range(len(prefixes[0])):
-        if not mask.any():
-            break
-        mask &= _products([prefixes[i][k] for i in one], [prefixes[i][k] for i in two]) > 0
-    x, y = np.nonzero(mask)
-    if not len(x):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    ux, uy = np.unique(x), np.unique(y)
-    both = _products([tokens[i] for i in one[ux]], [tokens[i] for i in two[uy]])[np.searchsorted(ux, x), np.searchsorted(uy, y)].astype(np.float64)
-    union = sizes[one[x]] + sizes[two[y]] - both
-    good = both >= tau * union - 1e-9
-    a, b = ids[one[x[good]]], ids[two[y[good]]]
-    return np.minimum(a, b), np.maximum(a, b), both[good] / union[good]
+    alone = bool((side == 0).all())
+    two = one if alone else np.flatnonzero(side == 2)
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    orders = int(max((m.max(initial=0) for m in marks), default=0)).bit_length()
+    prefixes = [[t[(m >> k) & 1 == 1] for t, m in zip(tokens, marks)] for k in range(orders)]
+    for lo in range(0, len(one) if len(two) else 0, ROWS):
+        rows = one[lo : lo + ROWS]
+        cols = two[lo:] if alone else two
+        small, big = np.minimum(sizes[rows][:, None], sizes[cols]), np.maximum(sizes[rows][:, None], sizes[cols])
+        mask = small >= tau * big - 1e-9
+        if alone:
+            mask = np.triu(mask, 1)
+        for k in range(orders):
+            if not mask.any():
+                break
+            mask &= _products([prefixes[k][i] for i in rows], [prefixes[k][i] for i in cols]) > 0
+        x, y = np.nonzero(mask)
+        if not len(x):
+            continue
+        ux, uy = np.unique(x), np.unique(y)
+        both = _products([tokens[i] for i in rows[ux]], [tokens[i] for i in cols[uy]])[np.searchsorted(ux, x), np.searchsorted(uy, y)].astype(np.float64)
+        union = sizes[rows[x]] + sizes[cols[y]] - both
+        good = both >= tau * union - 1e-9
+        a, b = ids[rows[x[good]]], ids[cols[y[good]]]
+        found.append((np.minimum(a, b), np.maximum(a, b), both[good] / union[good]))
+    return tuple(np.concatenate(c) for c in zip(*found))
 
 
 def _verify(tau: float, links: bool):
@@ -230,8 +241,8 @@ def _verify(tau: float, links: bool):
         for a, b in zip(first, np.append(first[1:], len(ids))):
             part = t.slice(a, b - a)
             tokens = [_unpack(x) for x in part["tokens"].to_pylist()]
-            prefixes = [[_unpack(y) for y in x] for x in part["prefixes"].to_pylist()]
-            p, q, s = _pairs_in(ids[a:b], sizes[a:b].astype(np.int64), tokens, prefixes, side[a:b], tau)
+            marks = [np.frombuffer(x, np.uint8) for x in part["marks"].to_pylist()]
+            p, q, s = _pairs_in(ids[a:b], sizes[a:b].astype(np.int64), tokens, marks, side[a:b], tau)
             if links and len(p):
                 name, flat = np.unique(np.concatenate([p, q]), return_inverse=True)
                 x, y, label = flat[: len(p)], flat[len(p) :], np.arange(len(name))
@@ -264,11 +275,13 @@ def similar_pairs(spark: SparkSession, docs: DataFrame, n: int = N, tau: float =
     least = keys.groupBy("key").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")).where("n > 1").select("key", "low")
     groups = common.written(spark, common.linked_groups(spark, keys.join(least, "key").where("doc_id <> low").select(F.col("doc_id").alias("a"), F.col("low").alias("b"))), "groups")
     blocks = groups.groupBy("root").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("m"))
-    placed = cut.drop("keys").join(groups, cut["doc_id"] == groups["node"]).join(blocks, "root")
+    places = groups.join(blocks, "root").select("node", "root", "m")
+    few = groups.limit(PLACED_ROWS + 1).count() <= PLACED_ROWS
+    placed = cut.drop("keys").join(F.broadcast(places) if few else places, F.col("doc_id") == F.col("node"))
     own = F.pmod(F.xxhash64("doc_id"), F.col("m")).cast("int")
     cells = placed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
     cells = cells.select(
-        "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "size", "tokens", "prefixes",
+        "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "size", "tokens", "marks",
         F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"),
     )
     spread = cells.withColumn("cell", F.pmod(F.xxhash64("root", "i", "j"), F.lit(4 << bits)))
