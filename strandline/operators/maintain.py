@@ -81,7 +81,7 @@ def rename_category(observations: DataFrame, path: str, old: str, new: str) -> D
 
 def merge_sibling_concepts(observations: DataFrame) -> DataFrame:
     """Concepts whose last segment ends in a slash are folded into the concept of the same path without it."""
-    return observations.withColumn("concept_path", F.regexp_replace("concept_path", r"/\\$", r"\\\\"))
+    return observations.withColumn("concept_path", F.regexp_replace("concept_path", r"/\\$", r"\\"))
 
 
 def hide_info_value(variant_info: DataFrame, key: str, value: str) -> DataFrame:
