@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from strandline.llm import common, kernel
 from strandline.llm.kernel import U
 
-N, TAU, ORDERS, BLOCK = 3, 0.7, 3, 4096
+N, TAU, ORDERS, BLOCK = 3, 0.6, 3, 4096
 ROWS = 512
 BITS = 48
 _PACKED = "bucket int, ids binary, sizes binary, counts binary, tokens binary, dfs binary"

@@ -77,5 +77,5 @@ def oracle_sql() -> dict[str, str]:
             s AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
             c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL)
             SELECT a AS doc_id_a, b AS doc_id_b, common / (x.n + y.n - common) AS jaccard
-            FROM c JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE common >= 0.7 * (x.n + y.n - common) - 1e-9""",
+            FROM c JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE common >= 0.6 * (x.n + y.n - common) - 1e-9""",
     }
