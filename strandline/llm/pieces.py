@@ -32,6 +32,8 @@ from strandline.llm.kernel import U
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA, SEED = 0.3, 2024
+#: Bytes of text whose lattices are held at once; a lattice takes some 60 bytes for each byte of its distinct words.
+LATTICE_BYTES = 1 << 20
 _OUT = "doc_id long, ids array<int>, n_ids int, decoded string"
 _OUT_ARROW = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("n_ids", pa.int32()), ("decoded", pa.string())])
 
@@ -265,7 +267,7 @@ def sampled_pieces(spark: SparkSession, docs: DataFrame, model: str = MODEL, alp
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)
         for whole in batches:
-            for batch in kernel.slices(whole):
+            for batch in kernel.slices(whole, limit=LATTICE_BYTES):
                 yield encode_rows(v, batch.column(0), batch.column(1), alpha, seed)
 
     return common.id_text(docs).mapInArrow(run, _OUT)
