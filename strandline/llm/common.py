@@ -23,9 +23,21 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/strandline-{spark.sparkContext.applicationId}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove everything this application has written to the shared folder, once its results have been stored elsewhere."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
-    """Cut lineage: store ``df`` as Parquet in the shared folder and read it back, so a lost executor costs no recomputation."""
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    """Cut lineage: store ``df`` as Parquet in the shared folder and read it back, so a lost executor costs no recomputation.
+
+    Each application has a folder of its own there; see :func:`clean`."""
+    path = f"{own_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -10,7 +10,8 @@ test set is joined on the fingerprints, and only texts with hits are brought tog
 
 Defined results: words are runs of letters and digits, lower-cased. A text or item that is null, empty or under K words shares nothing.
 Items of K to W + K - 2 words have their smallest gram kept; nothing is guaranteed for these. Each maximal span is one row; an item that is in
-a text twice, or repeated in the test set under several ids, gives a row for each. Rows that share a doc_id are each looked at by themselves.
+a text twice, or repeated in the test set under several ids, gives a row for each. Rows that share a doc_id are each looked at by themselves. The stage
+judges each row by its own text; only where the test set is too large to broadcast does it go by doc_id: rows sharing an id go together, and a null id stays.
 """
 
 from __future__ import annotations

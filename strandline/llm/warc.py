@@ -155,6 +155,6 @@ def read_pages(spark: SparkSession, path: str, split: int = SPLIT) -> DataFrame:
 
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """Pages written to archives in the shared folder and read back from them."""
-    path = f"{common.shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = f"{common.own_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_pages(spark, pages, path)
     return read_pages(spark, path)
