@@ -78,17 +78,21 @@ def _count(k: int):
     """In one bucket: runs of windows that occur more than once, within each super-k-mer."""
 
     def run(t: pa.Table) -> pa.Table:
-        ids = np.frombuffer(b"".join(t["ids"].to_pylist()), "<i8")
-        starts, length = (np.frombuffer(b"".join(t[c].to_pylist()), "<u4").astype(np.int64) for c in ("starts", "words"))
         expand = zstandard.ZstdDecompressor()
-        data = np.frombuffer(b"".join(expand.decompress(x) for x in t["text"].to_pylist()), np.uint8)
-        stop = np.flatnonzero(data == 32)
-        h = kernel.word_hashes(data, np.concatenate([[0], stop[:-1] + 1]), stop)
-        del data, stop
-        bounds = np.concatenate([[0], np.cumsum(length)])
-        at, owner = kernel.inside(bounds, k)
-        one, two = kernel.windows(h, k, 31)[at], kernel.windows(kernel.mix(h, 77), k, 32)[at]
-        place = starts[owner] + at - bounds[owner]
+        parts = []
+        for own, begin, count, text in zip(*(t[c].to_pylist() for c in ("ids", "starts", "words", "text"))):  # a map slice's share at a time
+            data = np.frombuffer(expand.decompress(text), np.uint8)
+            stop = np.flatnonzero(data == 32)
+            h = kernel.word_hashes(data, np.concatenate([[0], stop[:-1] + 1]), stop)
+            bounds = np.concatenate([[0], np.cumsum(np.frombuffer(count, "<u4").astype(np.int64))])
+            at, kmer = kernel.inside(bounds, k)
+            one, two = kernel.windows(h, k, 31)[at], kernel.windows(kernel.mix(h, 77), k, 32)[at]
+            place = (np.frombuffer(begin, "<u4").astype(np.int64)[kmer] + at - bounds[kmer]).astype(np.int32)
+            parts.append((np.frombuffer(own, "<i8"), kmer.astype(np.int32), one, two, place))
+        lead = np.cumsum([0, *(len(p[0]) for p in parts)])
+        ids, one, two, place = (np.concatenate([p[i] for p in parts]) for i in (0, 2, 3, 4))
+        owner = np.concatenate([p[1] + np.int32(n) for p, n in zip(parts, lead)])
+        del parts
         order = np.argsort(one, kind="stable")
         new = np.concatenate([[True], one[order][1:] != one[order][:-1]])
         apart = ~new & np.concatenate([[False], two[order][1:] != two[order][:-1]])
