@@ -9,10 +9,6 @@ from strandline.functions.variants import FIELDS
 from strandline.schema import Dataset
 
 
-def _ids(a: DataFrame | None, b: DataFrame) -> DataFrame:
-    return b if a is None else a.unionByName(b)
-
-
 def append_patients(a: DataFrame, b: DataFrame) -> DataFrame:
     """Genotypes of disjoint sets of patients, one after the other."""
     return a.unionByName(b)

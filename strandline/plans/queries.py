@@ -13,7 +13,9 @@ from strandline.model import ANY_RECORD_OF, REQUIRED, Branch, FlatQuery, Genomic
 from strandline.operators import cohort as co
 from strandline.operators import counts, dictionary, exports, genomic, maintain, variants
 from strandline.plans.testbed import BALANCE, EVENTS, NATION, PRICE, PRIORITY, SEGMENT, SQL, STATUS, dataset, table
-from strandline.schema import Dataset
+from strandline.schema import Dataset, load, save
+from strandline.sources import phenotypes
+from strandline.sources.scratch import folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -240,3 +242,26 @@ query("rename_category", r"SELECT tval, count(*) AS observations FROM (SELECT CA
 )
 query("hide_info_value", "SELECT 'Gene_with_variant' AS info_key, count(*) AS n FROM var WHERE gene <> 'Brand_11'")(lambda ds: maintain.hide_info_value(ds.variant_info, "Gene_with_variant", "Brand_11").where("info_key = 'Gene_with_variant'").groupBy("info_key").agg(F.count("*").alias("n")))
 query("source_rows", 'SELECT patient_num AS "PATIENT_NUM", concept_path AS "CONCEPT_PATH", nval AS "NUMERIC_VALUE", tval AS "TEXT_VALUE", coalesce(ts_ms, 0) AS "DATETIME" FROM obs')(lambda ds: maintain.source_rows(ds.observations).fillna(0, ["DATETIME"]))
+
+
+@query("csv_load", "SELECT patient_num, concept_path, nval, tval, coalesce(ts_ms, 0) AS ts_ms FROM obs")
+def _csv_load(ds: Dataset) -> DataFrame:
+    path = folder(ds.spark, "csv")
+    phenotypes.write_csv(ds.observations, path)
+    return phenotypes.read_csv(ds.spark, path, phenotypes.CONFIGURED).drop("seq").fillna(0, ["ts_ms"])
+
+
+@query("store_scan", rf"SELECT o.patient_num, o.nval, g.n FROM obs o LEFT JOIN (SELECT patient_num, count(*) AS n FROM gt GROUP BY 1) g USING (patient_num) WHERE concept_path = '\demo\customer\ACCTBAL\'")
+def _store_scan(ds: Dataset) -> DataFrame:
+    path = folder(ds.spark, "store")
+    save(ds, path)
+    back = load(ds.spark, path)
+    carried = back.genotypes.groupBy("patient_num").agg(F.count("*").alias("n"))
+    return back.observations.where(F.col("concept_path") == BALANCE).join(carried, "patient_num", "left").select("patient_num", "nval", "n")
+
+
+query("columnmeta_file", """SELECT concept_path AS name, coalesce(max(strlen(tval)), 8)::INT AS width_in_bytes, count(nval) = 0 AS categorical, min(nval) AS min, max(nval) AS max, count(*) AS observation_count,
+    count(DISTINCT patient_num) AS patient_count FROM obs GROUP BY concept_path""")(
+    lambda ds: dictionary.flat_file(dictionary.build(ds.observations)).select("name", "width_in_bytes", "categorical", "min", "max", "observation_count", "patient_count")
+)
+query("iso_instant", f"SELECT DISTINCT ts_ms, {_ISO} AS iso FROM obs WHERE ts_ms IS NOT NULL")(lambda ds: ds.observations.where("ts_ms is not null").select("ts_ms", fo.iso_instant(F.col("ts_ms")).alias("iso")).distinct())

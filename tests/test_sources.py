@@ -62,6 +62,23 @@ def test_sequence_of_sources(spark):
     assert [(r["patient_num"], r["nval"]) for r in phenotypes.read_sequence(spark, [a, b]).orderBy("seq").collect()] == [(1, 1.0), (3, 3.0)]
 
 
+def test_database(spark):
+    url = "jdbc:derby:memory:strandline;create=true"
+    rows = spark.createDataFrame([(1, "\\a\\b\\", None, "5", None), (2, "\\a\\b\\", 2.5, " ", 77)], "p int, c string, n double, t string, d bigint")
+    options = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    rows.write.format("jdbc").options(url=url, dbtable="facts", **options).option("createTableColumnTypes", "c VARCHAR(99), t VARCHAR(99)").save()
+    got = phenotypes.read_jdbc(spark, url, "SELECT p, c, n, t, d FROM facts", options)
+    assert sorted((r["patient_num"], r["nval"], r["ts_ms"]) for r in got.collect()) == [(1, 5.0, None), (2, 2.5, 77)]
+
+
+def test_dictionary_edges(spark):
+    cols = spark.createDataFrame([("Gene", "a GENE name"), ("Freq", None)], "info_key string, description string")
+    assert [r["info_key"] for r in dictionary.search_info_columns(cols, "NAME").collect()] == ["Gene"]
+    assert [r["info_key"] for r in dictionary.search_info_columns(cols, "fre").collect()] == ["Freq"]
+    empty = spark.createDataFrame([], schema.OBSERVATIONS)
+    assert dictionary.build(empty).count() == 0 and schema.Dataset(empty).patients().count() == 0
+
+
 def test_dump_is_read_again(spark, tmp_path):
     rows = [(1, "\\a\\", 1.5, None, 7, 0), (2, "\\b\\", None, 'say "x", y', None, 1)]
     df = spark.createDataFrame(rows, schema.OBSERVATIONS)
