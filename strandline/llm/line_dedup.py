@@ -125,7 +125,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, floor: int = RARE_FLOOR, sh
     """(doc_id, text without the deleted lines, n_lines, removed array<int>) of every document."""
     rows = common.one_row_per_id(spark, docs)
     gone = common.written(spark, deletions(spark, rows, floor, share), "deletions").toDF("__id", "gone")
-    every = rows.join(gone, F.col("doc_id") == F.col("__id"), "left")
+    # both sides are always shuffled: deletions grow with the corpus, so a plan that broadcasts them on small tables only would not be the one that runs on large ones
+    every = rows.join(gone.hint("merge"), F.col("doc_id") == F.col("__id"), "left")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("gone", i)), "\n")
     out = every.select(
         "doc_id", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text"),
