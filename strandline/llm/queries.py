@@ -56,6 +56,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_decontamination": r"""
+            WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[0-9a-z\x{80}-\x{10FFFF}]+') AS ws FROM documents),
+            b AS (SELECT item_id, regexp_extract_all(lower(text), '[0-9a-z\x{80}-\x{10FFFF}]+') AS ws FROM benchmark),
+            dg AS (SELECT doc_id, p, array_to_string(ws[p + 1:p + 8], ' ') AS g FROM (SELECT *, unnest(range(0, len(ws) - 7)) AS p FROM d WHERE len(ws) >= 8)),
+            bg AS (SELECT item_id, q, array_to_string(ws[q + 1:q + 8], ' ') AS g FROM (SELECT *, unnest(range(0, len(ws) - 7)) AS q FROM b WHERE len(ws) >= 8)),
+            m AS (SELECT doc_id, item_id, p, q, p - row_number() OVER (PARTITION BY doc_id, item_id, p - q ORDER BY p) AS run FROM dg JOIN bg USING (g))
+            SELECT doc_id, item_id, min(p)::INT AS doc_start, min(q)::INT AS item_start, (count(*) + 7)::INT AS words FROM m GROUP BY doc_id, item_id, p - q, run""",
         "op3_warc": "SELECT page_id, url, html FROM pages",
         "op5_exact_dedup": """
             WITH d AS (SELECT doc_id, text, doc_id <= (SELECT (min(doc_id) + max(doc_id)) // 2 FROM documents WHERE text IS NOT NULL) AS old FROM documents)
