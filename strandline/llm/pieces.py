@@ -33,7 +33,7 @@ from strandline.llm.kernel import U
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA, SEED = 0.3, 2024
 #: Bytes of text whose lattices are held at once; a lattice takes some 60 bytes for each byte of its distinct words.
-LATTICE_BYTES = 1 << 20
+LATTICE_BYTES = 1 << 19
 _OUT = "doc_id long, ids array<int>, n_ids int, decoded string"
 _OUT_ARROW = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("n_ids", pa.int32()), ("decoded", pa.string())])
 
@@ -132,15 +132,15 @@ class Lattice:
     def __init__(self, v: Vocabulary, data: np.ndarray, start: np.ndarray, length: np.ndarray, alpha: float) -> None:
         self.base = np.cumsum(length + 1) - (length + 1)
         total = int((length + 1).sum())
-        line = np.zeros(total, np.int64)
+        line = np.zeros(total, np.uint8)
         at = kernel.spans(self.base, length)
         line[at] = data[kernel.spans(start, length)]
-        end = np.repeat(self.base + length, length + 1)
+        end = np.repeat((self.base + length).astype(np.int32), length + 1)
         begins, ends, pieces = [], [], []
         whole = np.zeros(total, bool)  # characters that are pieces themselves
         lead = line & 0xC0
-        char = np.where(line < 0x80, 1, np.where(line >= 0xF0, 4, np.where(line >= 0xE0, 3, np.where(lead == 0xC0, 2, 0))))
-        first = at[char[at] > 0] if len(at) else at
+        char = np.where(line < 0x80, 1, np.where(line >= 0xF0, 4, np.where(line >= 0xE0, 3, np.where(lead == 0xC0, 2, 0)))).astype(np.int8)
+        first = at[char[at] > 0].astype(np.int32)
         here, node = first, np.zeros(len(first), np.int32)
         for k in range(1, v.depth + 1):
             node = v.step(node, line[here + k - 1])
@@ -148,7 +148,7 @@ class Lattice:
             here, node = here[on], node[on]
             found = v.final[node] >= 0
             begins.append(here[found])
-            ends.append(here[found] + k)
+            ends.append(here[found] + np.int32(k))
             pieces.append(v.final[node[found]])
             whole[here[found & (char[here] == k)]] = True
             more = here + k < end[here]
@@ -156,28 +156,29 @@ class Lattice:
             if not len(here):
                 break
         spelled = first[~whole[first]]
-        spelled = kernel.spans(spelled, np.minimum(char[spelled], end[spelled] - spelled))
+        spelled = kernel.spans(spelled, np.minimum(char[spelled], end[spelled] - spelled).astype(np.int64)).astype(np.int32)
         begins.append(spelled)
-        ends.append(spelled + 1)
+        ends.append(spelled + np.int32(1))
         pieces.append(v.byte_id[line[spelled]])
         begin, stop, piece = np.concatenate(begins), np.concatenate(ends), np.concatenate(pieces)
-        offset = stop - np.repeat(self.base, length + 1)[stop]
-        order = np.argsort((offset * np.int64(total) + stop) * np.int64(64) + (stop - begin))
+        del begins, ends, pieces, whole, char, end, line, lead, at
+        offset = stop - np.repeat(self.base.astype(np.int32), length + 1)[stop]
+        order = np.argsort((offset.astype(np.int64) * total + stop) * v.depth + (stop - begin) - 1)
         self.begin, self.piece, stop, offset = begin[order], piece[order], stop[order], offset[order]
         head = np.flatnonzero(np.concatenate([[True], stop[1:] != stop[:-1]])) if len(stop) else np.zeros(0, np.int64)
-        self.first = np.zeros(total, np.int64)
+        self.first = np.zeros(total, np.int32)
         self.first[stop[head]] = head
         fan = np.diff(np.append(head, len(stop)))
         score = np.full(total, -np.inf)
         score[self.base] = 0.0
         self.upto = np.zeros(len(stop))
-        weight = alpha * v.weight[self.piece]
+        weight_of = alpha * v.weight
         step_at = offset[head]
         cuts = np.flatnonzero(np.concatenate([[True], step_at[1:] != step_at[:-1]])) if len(head) else np.zeros(0, np.int64)
         for lo, hi in zip(cuts, np.append(cuts[1:], len(head))):
             e, n, to = head[lo:hi], fan[lo:hi], stop[head[lo:hi]]
             edge = slice(e[0], e[-1] + n[-1])
-            x = score[self.begin[edge]] + weight[edge]
+            x = score[self.begin[edge]] + weight_of[self.piece[edge]]
             local = e - e[0]
             peak = np.maximum.reduceat(x, local)
             peak = np.where(np.isfinite(peak), peak, 0.0)
