@@ -46,7 +46,7 @@ def _array(items: list[bytes]) -> bytes:
 
 def schema(fields: list[str], query_id: str) -> dict:
     patients, words = field_name("export-patients-" + query_id), field_name("export-data-dictionary-" + query_id)
-    link = {"type": "record", "name": "Link", "fields": [{"name": "dst", "type": "string"}, {"name": "multiplicity", "type": {"type": "enum", "name": "Multiplicity", "symbols": ["ONE_TO_ONE", "ONE_TO_MANY", "MANY_TO_ONE", "MANY_TO_MANY"]}}]}
+    link = {"type": "record", "name": "Link", "fields": [{"name": "dst", "type": "string"}, {"name": "multiplicity", "type": {"type": "enum", "name": "Multiplicity", "symbols": [f"{a}_TO_{b}" for a in ("ONE", "MANY") for b in ("ONE", "MANY")]}}]}
     values = {"type": "map", "values": NULLABLE}
     prop = {"type": "record", "name": "Property", "fields": [{"name": "name", "type": "string"}, {"name": "ontology_reference", "type": "string"}, {"name": "values", "type": values}]}
     node = {"type": "record", "name": "nodes", "fields": [{"name": "name", "type": "string"}, {"name": "ontology_reference", "type": NULLABLE}, {"name": "links", "type": {"type": "array", "items": link}}, {"name": "properties", "type": {"type": "array", "items": prop}}, {"name": "values", "type": values}]}

@@ -13,7 +13,7 @@ from strandline.functions import variants as fv
 from strandline.operators.maintain import number_variants
 from strandline.schema import BUCKET, Dataset
 
-INDEX_COLUMNS = ("vcf_path", "chromosome", "isAnnotated", "isGzipped", "sample_ids", "patient_ids", "sample_relationship", "related_sample_ids")
+INDEX_COLUMNS = tuple("vcf_path chromosome isAnnotated isGzipped sample_ids patient_ids sample_relationship related_sample_ids".split())
 GENE, CONSEQUENCE = "Gene_with_variant", "Variant_consequence_calculated"
 #: Field separators are tabs; a VCF line is fixed columns and then a sample each.
 FIXED = 9
@@ -67,7 +67,9 @@ def build_indexes(mapping: DataFrame, ids: DataFrame, kinds: list[str], director
 
 
 def write_index(rows: DataFrame, path: str) -> None:
-    rows.drop("file_group").write.partitionBy().csv(path, sep="\t", header=True, quoteAll=True)
+    """One folder a file group, each with an index of all columns; those that aren't known are blank."""
+    columns = [F.col(c) if c in rows.columns else F.lit("").alias(c) for c in INDEX_COLUMNS]
+    rows.select("file_group", *columns).repartition("file_group").write.partitionBy("file_group").csv(path, sep="\t", header=True, quoteAll=True)
 
 
 def _header(spark: SparkSession, file: VcfFile) -> tuple[list[str], dict[str, str]]:

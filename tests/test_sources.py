@@ -173,11 +173,14 @@ def test_unknown_sample_is_an_error(spark, tmp_path):
         vcf.read_vcf(spark, [vcf.VcfFile(str(tmp_path / "x.vcf"), None, True, False, ("S9",), (1,))])
 
 
-def test_index_builder(spark):
+def test_index_builder(spark, tmp_path):
     mapping = spark.createDataFrame([("u1", "/x/st.chr1.vcf.gz", "ok"), ("u2", "/x/st.chr1.vcf.gz", "ok"), ("u3", "/x/st.chr2.vcf.gz", "no"), ("u9", "/x/st.chr2.vcf.gz", "ok")], "patient_uuid string, file string, kind string")
     ids = spark.createDataFrame([("u1", 1), ("u2", 2), ("u3", 3)], "patient_uuid string, patient_id int")
     got = vcf.build_indexes(mapping, ids, ["ok"], "/vcf/").collect()
     assert [(r["file_group"], r["vcf_path"], r["chromosome"], r["sample_ids"], r["patient_ids"]) for r in got] == [("st", "/vcf/st.chr1.vcf.gz", "1", "u1,u2", "1,2")]
+    vcf.write_index(vcf.build_indexes(mapping, ids, ["ok"], "/vcf"), str(tmp_path / "index"))
+    (written,) = (tmp_path / "index" / "file_group=st").glob("*.csv")
+    assert vcf.parse_index(written.read_text()) == [vcf.VcfFile("/vcf/st.chr1.vcf.gz", "1", True, True, ("u1", "u2"), (1, 2))]
 
 
 @pytest.fixture
