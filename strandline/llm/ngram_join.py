@@ -173,10 +173,13 @@ def _cut(tau: float, orders: int):
     return run
 
 
-def _products(left: list[np.ndarray], right: list[np.ndarray], width: int = 1024) -> np.ndarray:
-    """Sizes of the intersections of each left with each right set, as a product of 0/1 matrices over slabs of the shared tokens."""
+def _products(left: list[np.ndarray], right: list[np.ndarray], within: bool, width: int = 1024) -> np.ndarray:
+    """Sizes of the intersections of each left with each right set, as a product of 0/1 matrices over slabs of the shared tokens.
+
+    within: the left sets are right ones too, and no set is asked about itself; tokens of a single set are then left out."""
     a, b = np.concatenate(left), np.concatenate(right)
-    shared = np.intersect1d(a, b)
+    own, times = np.unique(b, return_counts=True)
+    shared = np.intersect1d(a, own[times > 1] if within else own)
     out = np.zeros((len(left), len(right)), np.float32)
     if not len(shared):
         return out
@@ -216,12 +219,13 @@ def _pairs_in(ids, sizes, tokens, marks, side, tau: float) -> tuple[np.ndarray,
         for k in range(orders):
             if not mask.any():
                 break
-            mask &= _products([prefixes[k][i] for i in rows], [prefixes[k][i] for i in cols]) > 0
+            mask &= _products([prefixes[k][i] for i in rows], [prefixes[k][i] for i in cols], alone) > 0
         x, y = np.nonzero(mask)
         if not len(x):
             continue
         ux, uy = np.unique(x), np.unique(y)
-        both = _products([tokens[i] for i in rows[ux]], [tokens[i] for i in cols[uy]])[np.searchsorted(ux, x), np.searchsorted(uy, y)].astype(np.float64)
+        # rows and columns are narrowed apart here, so a left set may be missing on the right
+        both = _products([tokens[i] for i in rows[ux]], [tokens[i] for i in cols[uy]], False)[np.searchsorted(ux, x), np.searchsorted(uy, y)].astype(np.float64)
         union = sizes[rows[x]] + sizes[cols[y]] - both
         good = both >= tau * union - 1e-9
         a, b = ids[rows[x[good]]], ids[cols[y[good]]]
