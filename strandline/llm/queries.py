@@ -31,7 +31,7 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_dedup(tuned(spark), table(spark, sf_dir, "documents"))
+    return line_dedup.line_dedup(tuned(spark), table(spark, sf_dir, "documents"), every_pair=True)
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
