@@ -2,6 +2,7 @@
 
 from itertools import combinations
 
+import pytest
 from strandline.llm import line_dedup as ld
 
 
@@ -36,3 +37,15 @@ def test_every_earlier_holder_is_a_partner(spark, table):
     rows = [(1, "q\nR2\nmid 1\nR1\nz1"), (2, "a\nR1\nmid 2\nR2\nb"), (3, "c\nR1\nmid 3\nR2\nd"), (4, "own\nR1\n\nR2"), (5, "e\nR1\n\nR2\nf")]
     got = removed(spark, table, rows)
     assert got == unrestricted(rows) and got[3] == [1, 3] and got[5] == [1, 2, 3]
+
+
+@pytest.mark.parametrize("rest", [0, 200])
+def test_family_of_any_size(spark, table, rest):
+    """More members than the narrower rule's limit, with other contents and without: each member loses what it shares."""
+    common = [f"paragraph {k}" for k in range(5)]
+    rows = [(i, "\n".join([*common[: i % 5], f"edited {i}", *common[i % 5 :]])) for i in range(40)]
+    rows += [(1000 + i, f"alone {i}\nalone too {i}") for i in range(rest)]
+    got = removed(spark, table, rows)
+    assert got == unrestricted(rows)
+    assert all(got[i] == [k for k in range(6) if k != i % 5] for i in range(1, 40))
+    assert not any(got[1000 + i] for i in range(rest))
