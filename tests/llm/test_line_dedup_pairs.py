@@ -1,10 +1,13 @@
 """Line de-duplication as the query runs it, held against aligning all pairs of documents that share a line."""
 
+import importlib
 from itertools import combinations
 
 import pytest
 from strandline.llm import line_dedup as ld
 
+from tests.llm.test_line_dedup import rows_with_shared_lines
+
 
 def runs(lines, other):
     """Places of ``lines`` in an aligned common block with a line that isn't empty; no item, rank or round is used here."""
@@ -49,3 +52,19 @@ def test_family_of_any_size(spark, table, rest):
     assert got == unrestricted(rows)
     assert all(got[i] == [k for k in range(6) if k != i % 5] for i in range(1, 40))
     assert not any(got[1000 + i] for i in range(rest))
+
+
+def test_blocks_of_frequent_lines(spark, table):
+    """A block is deleted whatever its lines' frequency, and with the empty lines inside it; also where lines repeat in a document."""
+    rows = [(i, f"own {i}\n\nlicense\n\nterms {i % 3}\nend {i}") for i in range(30)]
+    rows += [(100, "x\nlicense\ny\nlicense\nz"), (101, "license\nu\nlicense\nv"), (102, "p\nlicense\nq\nlicense\nr"), (103, "\n\nlicense\n"), (104, "\n"), (105, "")]
+    rows += [(200 + i, t + "\nlast") for i, t in rows_with_shared_lines()[:50]]
+    got = removed(spark, table, rows)
+    assert got == unrestricted(rows) and got[5] == [1, 2, 3, 4] and got[100] == []
+
+
+def test_the_query_runs_every_pair(spark, table, tmp_path):
+    rows = rows_with_shared_lines()
+    table(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = importlib.import_module("__spark_entry__").queries()["op6_line_dedup"](spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: r["removed"] for r in got} == unrestricted(rows)
