@@ -11,7 +11,7 @@ test set is joined on the fingerprints, and only texts with hits are brought tog
 Defined results: words are runs of letters and digits, lower-cased. A text or item that is null, empty or under K words shares nothing.
 Items of K to W + K - 2 words have their smallest gram kept; nothing is guaranteed for these. Each maximal span is one row; an item that is in
 a text twice, or repeated in the test set under several ids, gives a row for each. Rows that share a doc_id are each looked at by themselves. The stage
-judges each row by its own text; only where the test set is too large to broadcast does it go by doc_id: rows sharing an id go together, and a null id stays.
+judges each row by its own text, whatever its doc_id and however large the test set.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ MIN_WORDS = 8
 SMALL_BYTES = 16 << 20
 _SPAN = "doc_id long, item_id long, doc_start int, item_start int, words int"
 _SPAN_ARROW = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("doc_start", pa.int32()), ("item_start", pa.int32()), ("words", pa.int32())])
+_DIGEST_ARROW = _SPAN_ARROW.append(pa.field("digest", pa.binary()))
 
 
 def fingerprints(words: kernel.Words, k: int = K, w: int = W) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -118,25 +119,12 @@ def _collected(items: DataFrame) -> TestSet:
     return TestSet([r["item_id"] for r in rows], [r["item_text"] for r in rows])
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_SPAN_ARROW)], schema=_SPAN_ARROW)
+def _batch(rows: list[tuple], schema: pa.Schema = _SPAN_ARROW) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
 
-def contaminated_spans(spark: SparkSession, docs: DataFrame, test: DataFrame, min_words: int = MIN_WORDS, small_bytes: int = SMALL_BYTES) -> DataFrame:
-    """(doc_id, item_id, doc_start, item_start, words) of every maximal span of ``min_words`` words or more that a document shares with an item; starts count words from 0."""
-    rows, items = common.id_text(docs).where("text is not null"), _items(test)
-    if _is_small(items, small_bytes):
-        shared = spark.sparkContext.broadcast(_collected(items))
-
-        def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for whole in batches:
-                for batch in kernel.slices(whole):
-                    found = shared.value.spans(kernel.Words(batch.column(1)), min_words)
-                    if found:
-                        ids = batch.column(0).to_pylist()
-                        yield _batch([(ids[d], shared.value.ids[i], s, t, n) for d, i, s, t, n in found])
-
-        return rows.mapInArrow(match, _SPAN)
+def _joined_spans(rows: DataFrame, items: DataFrame, min_words: int) -> DataFrame:
+    """The spans found by joining fingerprints, with the SHA-256 of the document's text."""
 
     def keep(id_name: str, text_name: str):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,19 +144,38 @@ def contaminated_spans(spark: SparkSession, docs: DataFrame, test: DataFrame, mi
     on_item = (pairs["item_id"] == item_rows["item_id"]) & (pairs["check_item_id"] == item_rows["check"])
     with_item = pairs.join(item_rows, on_item).select(pairs["doc_id"].alias("d"), "check_doc_id", pairs["item_id"], "item_text")
     on_doc = tagged["doc_id"].eqNullSafe(F.col("d")) & (tagged["check"] == F.col("check_doc_id"))
-    both = tagged.join(with_item, on_doc).select("doc_id", "text", "item_id", "item_text")
+    both = tagged.join(with_item, on_doc).select("doc_id", "text", "item_id", "item_text", F.unhex(F.sha2("text", 256)).alias("digest"))
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in kernel.slices(whole):
                 found = []
-                for d, text, i, item in zip(*(c.to_pylist() for c in batch.columns)):
+                for d, text, i, item, digest in zip(*(c.to_pylist() for c in batch.columns)):
                     spans = TestSet([i], [item]).spans(kernel.Words(pa.array([text], pa.large_string())), min_words)
-                    found += [(d, i, s, t, n) for _, _, s, t, n in spans]
+                    found += [(d, i, s, t, n, digest) for _, _, s, t, n in spans]
                 if found:
-                    yield _batch(found)
+                    yield _batch(found, _DIGEST_ARROW)
+
+    return both.mapInArrow(extend, _SPAN + ", digest binary")
+
+
+def contaminated_spans(spark: SparkSession, docs: DataFrame, test: DataFrame, min_words: int = MIN_WORDS, small_bytes: int = SMALL_BYTES) -> DataFrame:
+    """(doc_id, item_id, doc_start, item_start, words) of every maximal span of ``min_words`` words or more that a document shares with an item; starts count words from 0."""
+    rows, items = common.id_text(docs).where("text is not null"), _items(test)
+    if _is_small(items, small_bytes):
+        shared = spark.sparkContext.broadcast(_collected(items))
+
+        def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for batch in kernel.slices(whole):
+                    found = shared.value.spans(kernel.Words(batch.column(1)), min_words)
+                    if found:
+                        ids = batch.column(0).to_pylist()
+                        yield _batch([(ids[d], shared.value.ids[i], s, t, n) for d, i, s, t, n in found])
+
+        return rows.mapInArrow(match, _SPAN)
 
-    return both.mapInArrow(extend, _SPAN)
+    return _joined_spans(rows, items, min_words).drop("digest")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -176,8 +183,9 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     test = common.table(common.tuned(spark), sf_dir, "benchmark")
     items = _items(test)
     if not _is_small(items, SMALL_BYTES):
-        gone = contaminated_spans(spark, docs, test).where("doc_id is not null").select("doc_id").distinct()
-        return common.without_ids(spark, docs, common.written(spark, gone, "contaminated"))
+        found = _joined_spans(common.id_text(docs).where("text is not null"), items, MIN_WORDS)
+        gone = common.written(spark, found.select(F.col("digest").alias("__gone")).distinct(), "contaminated")
+        return docs.join(gone, F.unhex(F.sha2(docs["text"].cast("string"), 256)) == F.col("__gone"), "left_anti")
     shared = spark.sparkContext.broadcast(_collected(items))
 
     @F.arrow_udf("boolean")
