@@ -10,7 +10,8 @@ test set is joined on the fingerprints, and only texts with hits are brought tog
 
 Defined results: words are runs of letters and digits, lower-cased. A text or item that is null, empty or under K words shares nothing.
 Items of K to W + K - 2 words have their smallest gram kept; nothing is guaranteed for these. Each maximal span is one row; an item that is in
-a text twice, or repeated in the test set under several ids, gives a row for each. Rows that share a doc_id are each looked at by themselves. The stage
+a text twice, or repeated in the test set under several ids, gives a row for each. An item
+without an id is an item like any other; its spans have a null item_id. Rows that share a doc_id are each looked at by themselves. The stage
 judges each row by its own text, whatever its doc_id and however large the test set.
 """
 
@@ -107,7 +108,7 @@ class TestSet:
 
 
 def _items(test: DataFrame) -> DataFrame:
-    return test.select(test["item_id"].cast("long").alias("item_id"), test["text"].cast("string").alias("item_text")).where("item_text is not null and item_id is not null")
+    return test.select(test["item_id"].cast("long").alias("item_id"), test["text"].cast("string").alias("item_text")).where("item_text is not null")
 
 
 def _is_small(items: DataFrame, limit: int) -> bool:
@@ -141,7 +142,7 @@ def _joined_spans(rows: DataFrame, items: DataFrame, min_words: int) -> DataFram
     left = tagged.mapInArrow(keep("doc_id", "text"), "h long, doc_id long, check_doc_id long")
     right = item_rows.mapInArrow(keep("item_id", "item_text"), "h long, item_id long, check_item_id long")
     pairs = left.join(right, "h").select("doc_id", "check_doc_id", "item_id", "check_item_id").distinct()
-    on_item = (pairs["item_id"] == item_rows["item_id"]) & (pairs["check_item_id"] == item_rows["check"])
+    on_item = pairs["item_id"].eqNullSafe(item_rows["item_id"]) & (pairs["check_item_id"] == item_rows["check"])
     with_item = pairs.join(item_rows, on_item).select(pairs["doc_id"].alias("d"), "check_doc_id", pairs["item_id"], "item_text")
     on_doc = tagged["doc_id"].eqNullSafe(F.col("d")) & (tagged["check"] == F.col("check_doc_id"))
     both = tagged.join(with_item, on_doc).select("doc_id", "text", "item_id", "item_text", F.unhex(F.sha2("text", 256)).alias("digest"))
