@@ -33,6 +33,7 @@ from strandline.llm import common
 
 VERSION = b"WARC/1.0\r\n"
 SPLIT = 8 << 20
+#: Bytes read past a split at first; a header that is longer is read on to its end.
 HEADER_MAX = 1 << 16
 _PAGE = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("html", pa.string())])
 _HEADER = re.compile(rb"([A-Za-z0-9-]+):[ \t]*([^\r\n]*)\r\n")
@@ -59,26 +60,31 @@ def _open(path: str):
 
 
 def header_end(buf: bytes, at: int) -> tuple[int, int] | None:
-    """(payload's place, payload's length) of the header at ``at``; None where it is no header."""
-    stop = buf.find(b"\r\n\r\n", at, at + HEADER_MAX)
-    if stop < 0:
+    """(payload's place, payload's length) of the header at ``at``; None where it is no header or ``buf`` ends in it, and a length past any file's is none."""
+    stop = buf.find(b"\r\n\r\n", at)
+    again = buf.find(VERSION, at + 1, stop)
+    if stop < 0 or again >= 0 and buf[again - 1 : again] == b"\n":  # a header has no second version line
         return None
     for name, value in _HEADER.findall(buf, at + len(VERSION), stop + 2):
         if name.lower() == b"content-length":
-            return (stop + 4, int(value)) if value.isdigit() else None
+            return (stop + 4, int(value)) if value.isdigit() and len(value.lstrip(b"0")) < 19 else None
     return None
 
 
 def candidates(path: str, lo: int, hi: int) -> tuple[list[int], list[int]]:
-    """Offsets in [lo, hi) where a record may begin, and where each would end."""
+    """Offsets in [lo, hi) where a record may begin, and where each would end; none that would end past the file."""
     with _open(path) as f:
+        size = f.size()
         f.seek(lo)
         buf = f.read(hi - lo + HEADER_MAX + len(VERSION))
+        last = buf.rfind(VERSION, 0, hi - lo + len(VERSION) - 1)
+        while last >= 0 and buf.find(b"\r\n\r\n", last) < 0 and (more := f.read(len(buf))):  # the last header may be of any length
+            buf += more
     found, after = [], []
     at = buf.find(VERSION)
     while 0 <= at < hi - lo:
         end = header_end(buf, at)
-        if end:
+        if end and lo + end[0] + end[1] + 4 <= size:
             found.append(lo + at)
             after.append(lo + end[0] + end[1] + 4)
         at = buf.find(VERSION, at + 1)
