@@ -68,12 +68,34 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE) -> I
         i = j
 
 
+_NEAR = 64
+_table: list[np.ndarray] = []
+
+
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of data[start:end] for each pair of bounds."""
-    n = len(data)
-    sums = np.zeros(n + 1, U)
-    np.cumsum((data.astype(U) + U(1)) * powers(BASE, n), out=sums[1:])
-    return mix((sums[end] - sums[start]) * powers(BASE_INV, n + 1)[start])
+    """64-bit hash of data[start:end] for each pair of bounds, none empty: the sum of a random number for each (place, byte).
+
+    A polynomial modulo 2**64 would do with fewer steps, but gives words that follow certain patterns one and the same value."""
+    if not len(start):
+        return np.zeros(0, U)
+    if not _table:
+        _table.append(mix(np.arange(_NEAR << 8, dtype=U), 21))
+    length = (end - start).astype(np.int32)
+    lead = np.cumsum(length, dtype=np.int64) - length
+    if len(data) >= 1 << 30:
+        start, lead = start.astype(np.int64), lead.astype(np.int64)
+    else:
+        start, lead = start.astype(np.int32), lead.astype(np.int32)
+    at = np.arange(int(lead[-1]) + int(length[-1]), dtype=lead.dtype)
+    place = at - np.repeat(lead, length)
+    key = data[at + np.repeat(start - lead, length)] | place.astype(np.int64 if length.max() >= 1 << 22 else np.int32) << 8
+    if length.max() <= _NEAR:
+        each = _table[0][key]
+    else:
+        each = _table[0][np.minimum(place, _NEAR - 1) << 8 | key & 255]
+        far = np.flatnonzero(place >= _NEAR)
+        each[far] = mix(key[far].astype(U), 21)
+    return mix(np.add.reduceat(each, lead) + length.astype(U))
 
 
 class Words:
@@ -106,6 +128,15 @@ class Words:
     def count(self) -> np.ndarray:
         return np.diff(self.first)
 
+    def texts(self, i: int) -> list[bytes]:
+        """The words of text i themselves."""
+        lo, hi = self.first[i], self.first[i + 1]
+        if lo == hi:
+            return []
+        base = int(self.start[lo])
+        raw = self.data[base : int(self.end[hi - 1])].tobytes()
+        return [raw[a:b] for a, b in zip((self.start[lo:hi] - base).tolist(), (self.end[lo:hi] - base).tolist())]
+
 
 def windows(h: np.ndarray, k: int, seed: int = 1) -> np.ndarray:
     """Hash of h[i:i+k] for each i; len(h)-k+1 values (none if h is shorter)."""
