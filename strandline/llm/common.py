@@ -15,9 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder: ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The cluster's shared folder: ``spark.checkpoint.dir``. Only where that is unset and all runs on this machine (tests), a temporary one;
+    on a cluster an unset folder raises, as executors don't share temporary ones."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + os.path.join(tempfile.gettempdir(), "strandline-shared")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -102,10 +105,18 @@ def tuned(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def fresh_name(docs: DataFrame, name: str) -> str:
+    """``name``, or that with underscores before it where ``docs`` has a column of that name."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
 def one_row_per_id(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """``id_text(docs)`` with one row for each non-null doc_id.
 
-    Rows that share a doc_id become one document: their distinct texts, in order, joined by a line end. Texts are only
+    Rows that share a doc_id become one document: their distinct texts, in order, joined by a line end, or null where all are null. Texts are only
     moved where some doc_id does repeat, which is found out from the ids alone.
     """
     rows = id_text(docs).where("doc_id is not null")
@@ -114,7 +125,8 @@ def one_row_per_id(spark: SparkSession, docs: DataFrame) -> DataFrame:
         return rows
     again = written(spark, again, "repeated")
     on = F.col("doc_id") == F.col("again")
-    merged = rows.join(again, on, "left_semi").groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("text")), "\n").alias("text"))
+    merged = rows.join(again, on, "left_semi").groupBy("doc_id").agg(F.collect_set("text").alias("texts"))
+    merged = merged.select("doc_id", F.when(F.size("texts") > 0, F.array_join(F.array_sort("texts"), "\n")).alias("text"))
     return rows.join(again, on, "left_anti").unionByName(merged)
 
 
@@ -123,6 +135,7 @@ def without_ids(spark: SparkSession, docs: DataFrame, gone: DataFrame, limit: in
 
     Up to ``limit`` ids are broadcast; beyond it, both sides are shuffled.
     """
-    ids = gone.toDF("__gone")
+    name = fresh_name(docs, "gone")
+    ids = gone.toDF(name)
     small = ids.limit(limit + 1).count() <= limit
-    return docs.join(F.broadcast(ids) if small else ids, docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
+    return docs.join(F.broadcast(ids) if small else ids, docs["doc_id"].cast("long") == F.col(name), "left_anti")

@@ -4,7 +4,7 @@ import pytest
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that the operators use inside, as columns of a caller's table.
-CLASHING = ["bucket", "token", "lines", "gone", "h", "root", "ids", "kept", "__id", "digest", "accepted"]
+CLASHING = ["bucket", "token", "lines", "h", "root", "ids", "kept", "__id", "digest", "accepted", "__gone", "gone", "_gone", "node", "lead", "rep"]
 
 
 def words(rng, n, letters="abcdefghij"):
