@@ -1,11 +1,12 @@
 """Personal data by a linear-chain conditional random field over word shapes.
 
 Tokens are runs of characters other than white space, and a sequence is a line. A token's shape has runs of letters as one ``a`` and runs of digits as ``d`` with
-their length; noise signs at its end are left out. Features of the shape and the classes of both neighbouring tokens score each label, and
+their length; noise signs at its end are left out. Features of the shape (its ends, its signs, the lengths of its digit runs, how often letters and digits take
+turns, its length) and the classes of both neighbouring tokens score each label, and
 a matrix scores label after label. The weights are trained by gradient ascent on the log-likelihood of a small labelled table
 (``pii_table``), always from zero and in the same order, so every run has the same model.
 
-Texts are tokenised by numpy over the Arrow buffers. Each distinct shape is scored once. Lines of words only, whose best labelling
+Texts are tokenised by numpy over the Arrow buffers. Each distinct token of a slice is looked at once, and each distinct shape scored once. Lines of words only, whose best labelling
 is provably all O (a word's lead for O exceeds all that transitions could win), are skipped; all others are decoded exactly by
 Viterbi, many lines abreast.
 
@@ -25,7 +26,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from strandline.llm import common, kernel, pii_table
-from strandline.llm.kernel import U
 
 LABELS = ["O", "CARD", "EMAIL", "IP", "PHONE", "SECRET"]
 CLASSES = ["edge", "word", "short", "number", "plus", "area", "dash", "mail", "dots", "hex", "is", "other"]
@@ -54,13 +54,13 @@ def shape(token: str) -> str:
     return re.sub(r"\d+", lambda m: f"d{min(len(m[0]), 20)}", re.sub(r"a+", "a", token))
 
 
-def class_of(s: str, hexes: bool) -> str:
+def class_of(s: str, mixed: bool) -> str:
     digits = sum(int(x) for x in re.findall(r"d(\d+)", s))
     if s in ("", "a"):
         return "word" if s else "other"
     if "@" in s:
         return "mail"
-    if hexes:
+    if mixed:
         return "hex"
     if re.fullmatch(r"d\d+", s):
         return "number" if digits > 3 else "short"
@@ -75,38 +75,50 @@ def class_of(s: str, hexes: bool) -> str:
     return "is" if s == "=" else "other"
 
 
-def shape_features(token: str) -> tuple[list[str], str]:
-    """Features of a token's shape, and its class."""
-    s = shape(token)
-    core = token.strip("!$%&*#.,;:\"'|)]}>?(<[{")
-    tail = core.rsplit("=", 1)[-1].strip("\"'")
-    hexes = len(tail) >= 20 and bool(re.fullmatch(r"[0-9a-fA-F]+|[0-9A-Za-z_\-]*\d[0-9A-Za-z_\-]*", tail)) and any(c.isalpha() for c in tail) and any(c.isdigit() for c in tail)
+def shape_features(s: str, length: int) -> tuple[list[str], str]:
+    """Features of a shape whose token has so many characters, and its class."""
     runs = [int(x) for x in re.findall(r"d(\d+)", s)]
     flat = re.sub(r"d\d+", "d", s)
-    c = class_of(s, hexes)
-    f = ["bias", "class=" + c, "runs=" + str(min(len(runs), 5)), "digits=" + str(min(sum(runs), 17))]
-    if not hexes:
-        f.append("shape=" + (flat if len(flat) < 12 else "long"))
-        f.append("exact=" + (s if len(s) < 14 else "long"))
-    if re.fullmatch(r"\S*@\S*a\.\S*a", flat):
-        f.append("address")
-    if c == "dots" and len(runs) == 4 and max(runs) <= 3 and all(int(x) < 256 for x in re.findall(r"\d+", core)):
-        f.append("quad")
-    if c == "dash" and runs in ([3, 4], [3, 3, 4]):
-        f.append("phone")
-    if c == "dash" and runs == [4, 4, 4, 4] or runs == [16] and c == "number" or 13 <= sum(runs) <= 19 and c == "number":
-        f.append("card")
-    if hexes and len(tail) >= 32:
-        f.append("longhex")
+    turns = flat.count("ad") + flat.count("da")
+    mixed = turns > 4 and length >= 20
+    c = class_of(s, mixed)
+    signs = "".join(sorted(set(flat) - set("ad")))
+    f = ["bias", "class=" + c, f"runs={min(len(runs), 5)}", f"digits={min(sum(runs), 20)}", f"turns={min(turns, 9) // 3}", f"length={min(length, 40) // 8}"]
+    f += ["signs=" + signs, "begin=" + flat[:2], "end=" + flat[-3:]] if not mixed else []
+    if runs:
+        f += [f"longest={max(runs)}", f"shortest={min(runs)}", f"spread={len(runs)},{max(runs) <= 3},{min(runs) == max(runs)}"]
+    if not mixed:
+        f += ["shape=" + (flat if len(flat) < 12 else "long"), "exact=" + (s if len(s) < 14 else "long")]
     return f, c
 
 
+def expected(e: np.ndarray, trans: np.ndarray, on: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Forward-backward over sequences laid side by side, e[step, sequence, label], ``on`` telling their steps: the log partition function of each, the
+    probability of each label at each step, and the expected number of each label after each other one over all sequences."""
+    width = len(e)
+    fore, back = np.zeros_like(e), np.zeros_like(e)
+    fore[0] = e[0]
+    for t in range(1, width):
+        z = fore[t - 1][:, :, None] + trans
+        top = z.max(1, keepdims=True)
+        fore[t] = np.where(on[t][:, None], e[t] + (top + np.log(np.exp(z - top).sum(1, keepdims=True)))[:, 0], fore[t - 1])
+    for t in range(width - 2, -1, -1):
+        z = trans + (e[t + 1] + back[t + 1])[:, None, :]
+        top = z.max(2, keepdims=True)
+        back[t] = np.where(on[t + 1][:, None], (top + np.log(np.exp(z - top).sum(2, keepdims=True)))[:, :, 0], 0)
+    total = np.log(np.exp(fore[-1] - fore[-1].max(1, keepdims=True)).sum(1)) + fore[-1].max(1)
+    single = np.exp(fore + back - total[:, None]) * on[..., None]
+    both = on[1:] & on[:-1]
+    pair = np.exp(fore[:-1][..., None] + trans + (e[1:] + back[1:])[:, :, None, :] - total[:, None, None]) * both[..., None, None]
+    return total, single, pair.sum((0, 1))
+
+
 class Model:
-    """Weights of features and transitions; scores of shapes are kept."""
+    """Weights of features and transitions."""
 
     def __init__(self) -> None:
         data = pii_table.sequences()
-        rows = [[shape_features(t) for t in tokens] for tokens, _ in data]
+        rows = [[shape_features(shape(t), len(t)) for t in tokens] for tokens, _ in data]
         names = sorted({x for r in rows for f, _ in r for x in f})
         self.index = {x: i for i, x in enumerate(names)}
         n, c, k = len(names), len(CLASSES), len(LABELS)
@@ -128,21 +140,8 @@ class Model:
         m = [np.zeros_like(w), np.zeros_like(trans)]
         v = [np.zeros_like(w), np.zeros_like(trans)]
         for it in range(1, ROUNDS + 1):
-            e = (flat @ w).reshape(width, lines, k)
-            fore, back = np.zeros_like(e), np.zeros_like(e)
-            fore[0] = e[0]
-            for t in range(1, width):
-                z = fore[t - 1][:, :, None] + trans
-                top = z.max(1, keepdims=True)
-                fore[t] = np.where(on[t][:, None], e[t] + (top + np.log(np.exp(z - top).sum(1, keepdims=True)))[:, 0], fore[t - 1])
-            for t in range(width - 2, -1, -1):
-                z = trans + (e[t + 1] + back[t + 1])[:, None, :]
-                top = z.max(2, keepdims=True)
-                back[t] = np.where(on[t + 1][:, None], (top + np.log(np.exp(z - top).sum(2, keepdims=True)))[:, :, 0], 0)
-            total = np.log(np.exp(fore[-1] - fore[-1].max(1, keepdims=True)).sum(1)) + fore[-1].max(1)
-            single = np.exp(fore + back - total[:, None]) * on[..., None]
-            pair = np.exp(fore[:-1][..., None] + trans + (e[1:] + back[1:])[:, :, None, :] - total[:, None, None]) * both[..., None, None]
-            grads = [flat.T @ (truth - single).reshape(-1, k) - DECAY * w, steps - pair.sum((0, 1)) - DECAY * trans]
+            _, single, pair = expected((flat @ w).reshape(width, lines, k), trans, on)
+            grads = [flat.T @ (truth - single).reshape(-1, k) - DECAY * w, steps - pair - DECAY * trans]
             for i, (p, g) in enumerate(zip((w, trans), grads)):
                 m[i] = 0.9 * m[i] + 0.1 * g
                 v[i] = 0.99 * v[i] + 0.01 * g * g
@@ -154,11 +153,14 @@ class Model:
         lead = min(float(x[0] - x[1:].max()) for x in around)
         gain = float((trans.max() - trans.min()) * 2)
         self.words_are_plain = lead > gain
-        self.known: dict[int, tuple[np.ndarray, int]] = {}
 
     def score(self, token: str) -> tuple[np.ndarray, int]:
-        """Label scores of the token's own features, and its class."""
-        f, c = shape_features(token)
+        """Label scores of the token's own features, and its class; worked out once for each shape and length."""
+        return self._of_shape(shape(token), min(len(token), 40))
+
+    @lru_cache(maxsize=1 << 16)
+    def _of_shape(self, s: str, length: int) -> tuple[np.ndarray, int]:
+        f, c = shape_features(s, length)
         return self.shape_w[[self.index[x] for x in f if x in self.index]].sum(0), CLASSES.index(c)
 
 
@@ -233,9 +235,12 @@ def find(m: Model, ids: list, texts: pa.Array) -> list[tuple]:
     scores, classes = np.empty((len(at), len(LABELS))), np.empty(len(at), np.int64)
     word_score, word_class = m.score("word")
     scores[:], classes[:] = word_score, word_class
-    for k in np.flatnonzero(odd[at]):
-        raw = data[begin[at[k]] : end[at[k]]].tobytes().decode("utf-8", "replace")
-        scores[k], classes[k] = m.score(raw)
+    strange = np.flatnonzero(odd[at])
+    if len(strange):  # each distinct token once
+        lo, hi = begin[at[strange]], end[at[strange]]
+        _, one, back = np.unique(kernel.word_hashes(data, lo, hi), return_index=True, return_inverse=True)
+        known = [m.score(data[lo[k] : hi[k]].tobytes().decode("utf-8", "replace")) for k in one]
+        scores[strange], classes[strange] = np.array([x for x, _ in known])[back], np.array([c for _, c in known])[back]
     size = length[todo]
     starts = np.cumsum(size) - size
     edge = CLASSES.index("edge")

@@ -18,44 +18,44 @@ dans le train {E:les.5@mail8.example.com}### et puis rien
 HELLO!! {E:WRITE.8@MAIL3.EXAMPLE.COM}!! NOW!! PLEASE!!
 {E:a@b.example} is a short one
 Mail me at <{E:first.last+tag@sub.domain.example.co.uk}> today.
-Call {P:+1 (212) 555-7713} tonight.
+Call {P:+1 (787) 555-0193} tonight.
 you can reach us on {P:+44 (020) 555-0199} or by post
-Tel. {P:555-0142} is busy; try {P:555-3436} then.
-TELEFON!! {P:+1 (974) 555-3436}!! ODER!! SPÄTER!!
+Tel. {P:555-0142} is busy; try {P:555-0195} then.
+TELEFON!! {P:+1 (242) 555-0168}!! ODER!! SPÄTER!!
 numéro {P:+33 (145) 555-0101}*** à midi
-el teléfono {P:+1 (136) 555-7479}%%% de la tienda
+el teléfono {P:+1 (398) 555-0163}%%% de la tienda
 ring {P:(303) 555-0188} after six
 the desk is {P:212-555-0156}, the porter {P:(212) 555-0157}.
-his card {C:4845168114407329} was refused
-mit der Karte {C:4417744280351547} bezahlt, danke.
-la carte {C:7086638319846192}. Voilà.
-tarjeta {C:2669109448945250}$$$ sin fondos
-NUMBER!! {C:5927243074273351}!! IS!! WRONG!!
-she read out {C:4929-3483-8514-6306} slowly
-paid by {C:4952 9359 0025 3052} at noon
-{C:9000426309966109} and then it ended
+his card {C:4201604913303583} was refused
+mit der Karte {C:3052665819582390} bezahlt, danke.
+la carte {C:7601355229319051}. Voilà.
+tarjeta {C:8599876285811225}$$$ sin fondos
+NUMBER!! {C:1264789263888510}!! IS!! WRONG!!
+she read out {C:6795-7068-3934-2717} slowly
+paid by {C:9943 4922 4731 2378} at noon
+{C:5035962936556306} and then it ended
 the host {I:192.0.2.17} went down
 from {I:198.51.100.233} to {I:203.0.113.5} in a second.
-der Rechner {I:97.51.17.173} antwortet nicht
-l'adresse {I:129.38.82.176}, puis rien
-la dirección {I:8.20.209.178}*** no responde
-SERVER!! {I:169.122.221.182}!! IS!! DOWN!!
-{I:1.43.173.185} was seen on the line
-ping {I:233.254.104.120} twice.
-token = "{S:04dbebab91ab85687d33eeaaf9ac699e1188f962}" was left in the file
-the token = "{S:f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda}" in the script
-secret = "{S:2abc3ff2ca8fb1e4c565a0eb63815530a948bdde}"### de la nuit
-key: {S:ab8ca1b325bc4f85aa6a79e73fc4cbfc2098878e} is void now
-password = {S:9c8b45435718dcc700c184a7e303cdc64c6a8f7f} und nicht mehr
-TOKEN = "{S:9233A8ECF7C5B09FE5949719B6B82BC439E9329B}"!! AND!! SO!! ON!!
-api_key="{S:27660c51feb63980dfaee7464f96210544c03fc3}" in the log
-token "{S:cb1a9fee807a05366fcb8b6c95c7c565ede51a72}" expired
+der Rechner {I:72.11.225.145} antwortet nicht
+l'adresse {I:9.18.211.141}, puis rien
+la dirección {I:220.58.107.219}*** no responde
+SERVER!! {I:50.60.19.14}!! IS!! DOWN!!
+{I:164.160.99.185} was seen on the line
+ping {I:93.193.91.210} twice.
+token = "{S:efe4a84aba45d83a62e4324c4a5edaa28117480f}" was left in the file
+the token = "{S:4c9dfac11bedae6fe764b69c296c58c122f0e111}" in the script
+secret = "{S:36de27b01b0caacf79568044709622d7d3fbaceb}"### de la nuit
+key: {S:e7fbc27a3a426618650ec99787370ca3e6b7b059} is void now
+password = {S:f045f14c1656499b8461225d3e740aca535425ea} und nicht mehr
+TOKEN = "{S:6A819BD80C447748196F2774F4E92DC996423ECB}"!! AND!! SO!! ON!!
+api_key="{S:062b99c4e4a59f26080f00099f983617a216ff8b}" in the log
+token "{S:c06c62f71d88f1ed68b8a6ae91b47a8537d43ec6}" expired
 {E:one@host.example.org} {E:two.b@host.example.org}
 {E:x.1@mail.example.net} {E:y.2@mail.example.net}, {E:z.3@mail.example.net}
 {I:203.0.113.77} {I:198.51.100.4} {I:10.20.30.40}
-{C:4111222233334444} {C:5500666677778888}
+{C:2100542231650714} {C:3089529754199917}
 {P:555-0121} {E:q@host.example.org} {I:192.0.2.200}
-{I:172.16.4.99} {C:6011000990139424} {P:+1 (650) 555-0111}
+{I:172.16.4.99} {C:6074939435097821} {P:+1 (650) 555-0111}
 The house was built in 1987 and sold in 2004.
 It cost 12,500 euros, or 13.750 dollars, in 1999.
 Version 2.0 of the program came out on 12 May 2011.

@@ -46,8 +46,66 @@ def test_skipping_lines_of_words_changes_nothing(spark, sf_dir):
     assert pii.find(a, ids, pa.array(texts)) == pii.find(b, ids, pa.array(texts))
 
 
+def test_gradient_is_that_of_the_enumerated_likelihood():
+    rng = np.random.default_rng(7)
+    k, lengths = 3, [1, 2, 4]
+    e, trans = rng.normal(size=(4, 3, k)), rng.normal(size=(k, k))
+    on = np.arange(4)[:, None] < np.array(lengths)
+    total, single, pair = pii.expected(e, trans, on)
+    want = np.zeros((k, k))
+    for j, n in enumerate(lengths):
+        paths = list(itertools.product(range(k), repeat=n))
+        weight = np.exp([sum(e[t, j, x] for t, x in enumerate(p)) + sum(trans[a, b] for a, b in zip(p, p[1:])) for p in paths])
+        assert np.isclose(total[j], np.log(weight.sum()))
+        for t in range(4):
+            for y in range(k):
+                assert np.isclose(single[t, j, y], sum(w for p, w in zip(paths, weight) if t < n and p[t] == y) / weight.sum())
+        for p, w in zip(paths, weight):
+            for a, b in zip(p, p[1:]):
+                want[a, b] += w / weight.sum()
+    assert np.allclose(pair, want)
+
+
+def plain_spans(m, text):
+    """Token by token, without any shortcut: (kind, first token, last token) of the runs of one label."""
+    out = []
+    for line in text.split("\n"):
+        tokens = line.split()
+        if not tokens:
+            continue
+        s = [m.score(t) for t in tokens]
+        edge = pii.CLASSES.index("edge")
+        e = np.array([x + m.before[s[i - 1][1] if i else edge] + m.after[s[i + 1][1] if i + 1 < len(s) else edge] for i, (x, _) in enumerate(s)])
+        path = pii.viterbi(e[:, None], m.trans, np.array([len(tokens)]))[:, 0]
+        k = 0
+        while k < len(path):
+            end = k + 1
+            while end < len(path) and path[end] == path[k] and path[k] and not pii._whole(pii.LABELS[path[k]], tokens[end - 1]):
+                end += 1
+            if path[k]:
+                out.append((pii.LABELS[path[k]], tokens[k:end]))
+            k = end
+    return out
+
+
+def test_find_is_the_plain_tagger(spark, sf_dir):
+    texts = [r["text"] for r in spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/documents.parquet").where("text rlike '[0-9@]'").limit(150).collect()]
+    m = pii.model()
+    for text in texts:
+        got, want = pii.find(m, [0], pa.array([text])), plain_spans(m, text)
+        assert [k for _, k, *_ in got] == [k for k, _ in want]
+        assert all(v.split()[-1] in tokens[-1] for (*_, v), (_, tokens) in zip(got, want))
+
+
+def test_no_entity_of_the_table_is_in_the_documents(spark, sf_dir):
+    values = [m[2] for m in re.finditer(r"\{([A-Z]):([^}]*)\}", pii_table.LINES) if len(m[2]) > 8]
+    for sf in ("0.001", "0.01", "0.1"):
+        texts = spark.read.parquet(f"{sf_dir.replace('0.001', sf)}/documents.parquet").select("text")
+        assert texts.where(" or ".join(f"contains(text, '{v}')" for v in values)).count() == 0
+
+
 def test_held_out_documents(spark, sf_dir):
-    """Documents have nothing of the training table; patterns of their generator's formats serve as labels."""
+    """Patterns of their generator's formats serve as labels."""
     docs = spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/documents.parquet")
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     got = {(r["doc_id"], r["kind"], r["start"], r["end"]) for r in pii.personal_data(spark, docs).collect()}
