@@ -8,6 +8,8 @@ of overfull arcs move, and a change in the number of shards moves about keys / s
 The plan is made from the number of keys of each arc (shards * VNODES numbers, whatever the data); keys are ranked only inside arcs
 that are split.
 
+Equal keys are counted before they are ranked, partition by partition, so no task holds all rows of one key.
+
 Defined results: a key is a doc_id; equal doc_ids hash alike and are ranked next to each other, so rows repeated stay together but for a
 boundary that falls between them. A null doc_id hashes as a key of its own. Texts aren't read. An empty table gives an empty one.
 """
@@ -22,7 +24,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandline.llm import common
 from strandline.llm.kernel import U, mix
 
 SHARDS, VNODES, EPSILON = 64, 64, 0.05
@@ -79,6 +80,24 @@ def plan(r: Ring, counts: np.ndarray, epsilon: float = EPSILON) -> list[tuple[in
     return sorted(pieces)
 
 
+def _ranked(keyed: DataFrame) -> DataFrame:
+    """``rank`` of each row in its arc, by hash and key, from 1. Equal keys are counted first, one row each, and given their ranks by a number within
+    the key, so that a key with a third of all rows is numbered in many tasks; keys are numbered in ranges of the hash, many to an arc."""
+    salted = keyed.withColumn("salt", F.spark_partition_id())
+    parts = salted.groupBy("arc", "h", "doc_id", "salt").agg(F.count("*").alias("n"))
+    slot = F.shiftright("h", 50)
+    of_key = Window.partitionBy("arc", "h", "doc_id").orderBy("salt")
+    before = parts.withColumn("in_key", F.sum("n").over(of_key) - F.col("n"))
+    keys = parts.groupBy("arc", "h", "doc_id").agg(F.sum("n").alias("n")).withColumn("slot", slot)
+    slots = keys.groupBy("arc", "slot").agg(F.sum("n").alias("n"))
+    lead = slots.withColumn("lead", F.sum("n").over(Window.partitionBy("arc").orderBy("slot")) - F.col("n")).drop("n")
+    in_slot = keys.withColumn("at", F.sum("n").over(Window.partitionBy("arc", "slot").orderBy("h", "doc_id")) - F.col("n"))
+    starts = in_slot.join(lead, ["arc", "slot"]).select("arc", "h", "doc_id", (F.col("at") + F.col("lead")).alias("start"))
+    on = lambda a, b: (a["h"] == b["h"]) & a["doc_id"].eqNullSafe(b["doc_id"])
+    placed = before.join(starts, on(before, starts)).select(before["arc"], before["h"], before["doc_id"], "salt", (F.col("start") + F.col("in_key")).alias("start"), "n")
+    return placed.select("doc_id", "h", "arc", F.explode(F.sequence(F.col("start") + 1, F.col("start") + F.col("n"))).alias("rank"))
+
+
 def shard_keys(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES, epsilon: float = EPSILON) -> DataFrame:
     """(doc_id, shard, hops) of every row; hops is 0 where the key is in its own arc's shard."""
     r = ring(shards, vnodes)
@@ -93,20 +112,22 @@ def shard_keys(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, vnode
     for row in keyed.groupBy("arc").count().collect():  # as many rows as the ring has points at most
         counts[row["arc"]] = row["count"]
     pieces = plan(r, counts, epsilon)
-    split = {arc for i, (arc, *_) in enumerate(pieces) if i and pieces[i - 1][0] == arc}
-    whole = {arc: (s, hops) for arc, _, s, hops in pieces if arc not in split}
-    of_split: dict[int, list[tuple[int, int, int]]] = {}
-    for arc, below, s, hops in pieces:
-        if arc in split:
-            of_split.setdefault(arc, []).append((below, s, hops))
+    piece_arc, piece_end = (np.array([p[i] for p in pieces], np.int64) for i in (0, 1))
+    piece_shard, piece_hops = (np.array([p[i] for p in pieces], np.int32) for i in (2, 3))
+    first = np.searchsorted(piece_arc, np.arange(len(r.point) + 1))
+    split = np.flatnonzero(np.diff(first) > 1)
+    # one rising number for each piece: arcs one after the other, each as long as its keys are many
+    base = np.cumsum(counts) - counts
+    bound = base[piece_arc] + piece_end
 
     @F.arrow_udf("struct<shard:int,hops:int>")
     def place(arc: pa.Array, rank: pa.Array) -> pa.Array:
         a, k = arc.to_numpy(zero_copy_only=False), rank.to_numpy(zero_copy_only=False)
-        found = [whole[x] if x in whole else next((s, hops) for below, s, hops in of_split[x] if y <= below) for x, y in zip(a.tolist(), k.tolist())]
-        return pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.int32())], names=["shard", "hops"])
+        which = np.searchsorted(bound, base[a] + k)
+        return pa.StructArray.from_arrays([pa.array(piece_shard[which]), pa.array(piece_hops[which])], names=["shard", "hops"])
 
-    parted = F.col("arc").isin(sorted(split)) if split else F.lit(False)
-    rank = F.row_number().over(Window.partitionBy("arc").orderBy("h", "doc_id"))
-    ranked = keyed.where(~parted).withColumn("rank", F.lit(1)).unionByName(keyed.where(parted).withColumn("rank", rank))
+    parted = F.col("arc").isin(split.tolist()) if len(split) else F.lit(False)
+    ranked = keyed.where(~parted).withColumn("rank", F.lit(1).cast("long"))
+    if len(split):
+        ranked = ranked.unionByName(_ranked(keyed.where(parted)))
     return ranked.select("doc_id", place("arc", "rank").alias("p")).select("doc_id", "p.shard", "p.hops")
