@@ -2,8 +2,8 @@
 
 A window's minimiser is its ``M``-word gram with the smallest hash. Consecutive windows that share a minimiser (the same occurrence of it) make a
 super-k-mer; its words travel once, packed as a string, to the minimiser's bucket, instead of K words for each window. Equal windows have equal
-minimisers, so all occurrences of a window meet in one bucket, where the windows are sorted by hash and counted exactly (a second,
-independent hash must agree too). Packed strings are compressed by bucket before the exchange.
+minimisers, so all occurrences of a window meet in one bucket, where the windows are sorted by hash, those of one hash are compared word by word and byte
+by byte, and counted exactly. Packed strings are compressed by bucket before the exchange.
 
 The result has one row for each maximal run of consecutive windows that occur twice or more, anywhere: the passage's place, its windows, how
 many of them occur here for the first time (by doc_id, then place) and the largest number of occurrences. Windows that aren't first
@@ -74,37 +74,81 @@ def _spread(bits: int, k: int, m: int):
     return run
 
 
+def unequal_words(data: np.ndarray, start: np.ndarray, stop: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Words that differ in their bytes from the first word of the same hash."""
+    _, first, back = np.unique(h, return_index=True, return_inverse=True)
+    like = first[back]
+    size = stop - start
+    apart = size != size[like]
+    some = np.flatnonzero(~apart & (like != np.arange(len(h))))
+    if len(some):
+        same = data[kernel.spans(start[some], size[some])] == data[kernel.spans(start[like[some]], size[some])]
+        apart[some] = ~np.logical_and.reduceat(same, np.cumsum(size[some]) - size[some])
+    return apart
+
+
+def unequal_windows(h: np.ndarray, at: np.ndarray, like: np.ndarray, k: int) -> np.ndarray:
+    """Windows (by first word, rising) that differ in some word from the window at ``like``: where both are one word further than those before, only their last words are new."""
+    on = np.concatenate([[False], (at[1:] == at[:-1] + 1) & (like[1:] == like[:-1] + 1)])
+    apart = h[at + k - 1] != h[like + k - 1]
+    whole = np.flatnonzero(~on)
+    for lo in range(0, len(whole), 100_000):
+        w = whole[lo : lo + 100_000]
+        step = np.arange(k)
+        apart[w] = (h[at[w][:, None] + step] != h[like[w][:, None] + step]).any(1)
+    return apart
+
+
+def grouped(one: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order that puts equal values next to each other, size of each run)."""
+    order = np.argsort(one, kind="stable")
+    head = np.flatnonzero(np.concatenate([[True], one[order][1:] != one[order][:-1]]))
+    return order, np.diff(np.append(head, len(order)))
+
+
 def _count(k: int):
-    """In one bucket: runs of windows that occur more than once, within each super-k-mer."""
+    """In one bucket: runs of windows that occur more than once, within each super-k-mer. Windows are sorted by hash; those of one hash are then compared, words by their bytes and windows word by word."""
 
     def run(t: pa.Table) -> pa.Table:
         expand = zstandard.ZstdDecompressor()
-        parts = []
-        for own, begin, count, text in zip(*(t[c].to_pylist() for c in ("ids", "starts", "words", "text"))):  # a map slice's share at a time
+        parts, blobs, words = [], [], 0
+        for own, begin, count, text in zip(*(t[c].to_pylist() for c in ("ids", "starts", "words", "text"))):  # a map task's share at a time
             data = np.frombuffer(expand.decompress(text), np.uint8)
             stop = np.flatnonzero(data == 32)
             h = kernel.word_hashes(data, np.concatenate([[0], stop[:-1] + 1]), stop)
             bounds = np.concatenate([[0], np.cumsum(np.frombuffer(count, "<u4").astype(np.int64))])
             at, kmer = kernel.inside(bounds, k)
-            one, two = kernel.windows(h, k, 31)[at], kernel.windows(kernel.mix(h, 77), k, 32)[at]
             place = (np.frombuffer(begin, "<u4").astype(np.int64)[kmer] + at - bounds[kmer]).astype(np.int32)
-            parts.append((np.frombuffer(own, "<i8"), kmer.astype(np.int32), one, two, place))
+            parts.append((np.frombuffer(own, "<i8"), kmer.astype(np.int32), kernel.windows(h, k, 31)[at], at + words, place, h))
+            blobs.append(data)
+            words += len(h)
         lead = np.cumsum([0, *(len(p[0]) for p in parts)])
-        ids, one, two, place = (np.concatenate([p[i] for p in parts]) for i in (0, 2, 3, 4))
+        ids, one, at, place, h = (np.concatenate([p[i] for p in parts]) for i in (0, 2, 3, 4, 5))
         owner = np.concatenate([p[1] + np.int32(n) for p, n in zip(parts, lead)])
-        del parts
-        order = np.argsort(one, kind="stable")
-        new = np.concatenate([[True], one[order][1:] != one[order][:-1]])
-        apart = ~new & np.concatenate([[False], two[order][1:] != two[order][:-1]])
-        if apart.any():  # two windows agree in one hash and not in the other
-            order = np.lexsort((two, one))
-            new = np.concatenate([[True], (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])])
-        head = np.flatnonzero(new)
-        size = np.diff(np.append(head, len(order)))
+        data = np.concatenate(blobs)
+        del parts, blobs
+        order, size = grouped(one)
+        again = np.repeat(size > 1, size)
+        if again.any():
+            like = np.empty(len(one), np.int64)
+            like[order] = np.repeat(order[np.cumsum(size) - size], size)
+            twice = np.sort(order[again])
+            held = np.flatnonzero(np.cumsum(np.bincount(at[twice], minlength=words + 1) - np.bincount(at[twice] + k, minlength=words + 1))[:-1] > 0)
+            stop = np.flatnonzero(data == 32)
+            start = np.concatenate([[0], stop[:-1] + 1])
+            strange = unequal_words(data, start[held], stop[held], h[held])
+            if strange.any() or unequal_windows(h, at[twice], at[like[twice]], k).any():  # a hash has let us down: by the bytes themselves
+                texts: dict[tuple[int, bytes], int] = {}
+                for i in twice:
+                    one[i] = texts.setdefault((int(one[i]), data[start[at[i]] : stop[at[i] + k - 1]].tobytes()), len(texts))
+                alone = np.ones(len(one), bool)
+                alone[twice] = False
+                one[alone] = np.arange(len(texts), len(texts) + int(alone.sum()))
+                order, size = grouped(one)
+                again = np.repeat(size > 1, size)
         times = np.empty(len(order), np.int64)
         times[order] = np.repeat(size, size)
         first = np.zeros(len(order), bool)
-        again = np.repeat(size > 1, size)
         member = order[again]
         if len(member):
             group = np.repeat(np.arange(len(size)), size)[again]

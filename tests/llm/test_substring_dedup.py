@@ -65,6 +65,38 @@ def test_super_kmers_cover_each_window_once():
     assert count.max() <= s.K - s.M + 1
 
 
+def counted(rows, k, m):
+    batch = pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.large_string())], names=["doc_id", "text"])
+    packed = pa.Table.from_batches(list(s._spread(0, k, m)([batch])))
+    return sorted(map(tuple, (r.values() for r in s._count(k)(packed).to_pylist())))
+
+
+@pytest.mark.parametrize("what", ["words", "windows"])
+def test_hashes_that_collide_change_nothing(monkeypatch, what):
+    rng = random.Random(9)
+    base = [f"v{rng.randrange(40)}" for _ in range(120)]
+    rows = [(i, " ".join(base[i : i + 60] + [f"v{rng.randrange(40)}" for _ in range(30)])) for i in range(8)]
+    want = counted(rows, 6, 6)  # grams as long as the windows, so that places don't hang on the hash
+    if what == "words":
+        monkeypatch.setattr(kernel, "word_hashes", lambda data, a, b, f=kernel.word_hashes: f(data, a, b) & np.uint64(7))
+        packed = counted(rows, 6, 6)
+    else:
+        monkeypatch.setattr(kernel, "windows", lambda h, k, seed=1, f=kernel.windows: f(h, k, seed) & np.uint64(7) if seed == 31 else f(h, k, seed))
+        packed = counted(rows, 6, 6)
+    spread = lambda found: sorted((i, x) for i, a, b, *_ in found for x in range(a, b + 1))
+    assert want and spread(packed) == spread(want)
+
+
+def test_words_of_a_periodic_pattern(spark, table):
+    """Words that follow the Thue-Morse sequence and its complement, of one hash under polynomials modulo 2**64."""
+    t = "a"
+    while len(t) < 2048:
+        t += t.translate(str.maketrans("ab", "ba"))
+    u = t.translate(str.maketrans("ab", "ba"))
+    rows = [(1, f"p q {t} r s"), (2, f"p q {u} r s"), (3, f"p q {t} r s")]
+    assert result(s.repeated_passages(spark, table(rows), 5, 3)) == brute(rows, 5)
+
+
 def test_empty(spark, table):
     assert s.repeated_passages(spark, table([])).count() == 0
     assert s.repeated_passages(spark, table([(1, None), (2, ""), (3, "short")])).count() == 0
