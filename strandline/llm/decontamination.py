@@ -3,7 +3,7 @@
 Words are hashed, and every ``K`` consecutive words make a gram. Of each ``W`` consecutive grams the one with the smallest hash is kept (all of
 them, where equal), in test items and in training texts alike. A span of ``GUARANTEE`` = W + K - 1 words or more that both share holds a whole window of
 grams, whose minimum both keep; so joining the kept hashes finds every such span. Each hit is then extended word by word to
-the whole shared span, and spans shorter than ``MIN_WORDS`` are dropped.
+the whole shared span, whose words are then compared byte by byte, and spans shorter than ``MIN_WORDS`` are dropped.
 
 Test items of up to ``SMALL_BYTES`` together are broadcast, fingerprints and words, and texts are matched in one pass without a shuffle. A larger
 test set is joined on the fingerprints, and only texts with hits are brought together with their items.
@@ -73,6 +73,15 @@ def shared_runs(a: np.ndarray, b: np.ndarray, offset: int, least: int) -> list[t
     return [(int(s) + lo, int(e - s)) for s, e in zip(starts, ends) if e - s >= least]
 
 
+def equal_runs(a: list[bytes], b: list[bytes], start: int, least: int) -> list[tuple[int, int]]:
+    """Runs, of ``least`` words or more, of words that are equal byte by byte; all of a and b, unless a hash has let us down."""
+    if a == b:
+        return [(start, len(a))]
+    same = [False, *(x == y for x, y in zip(a, b)), False]
+    edge = [k for k in range(1, len(same)) if same[k] != same[k - 1]]
+    return [(start + x - 1, y - x) for x, y in zip(edge[::2], edge[1::2]) if y - x >= least]
+
+
 class TestSet:
     """Fingerprints of the test items, sorted by hash, and the items' words."""
 
@@ -84,7 +93,7 @@ class TestSet:
         order = np.argsort(h, kind="stable")
         self.ids = ids
         self.hash, self.at, self.item = h[order], (at - words.first[item])[order], item[order]
-        self.words = [words.h[words.first[i] : words.first[i + 1]] for i in range(len(ids))]
+        self.words = words
         self.filter = np.zeros(1 << 22, bool)
         self.filter[(self.hash >> U(42)).astype(np.int64)] = True
 
@@ -101,9 +110,16 @@ class TestSet:
         who = np.repeat(hit, hi - lo)
         lines = np.unique(np.stack([doc[who], self.item[k], at[who] - words.first[doc[who]] - self.at[k]], 1), axis=0)
         found = []
+        last, letters = -1, []
         for d, i, offset in lines.tolist():
             text = words.h[words.first[d] : words.first[d + 1]]
-            found += [(d, i, s, s - offset, n) for s, n in shared_runs(text, self.words[i], offset, least)]
+            item = self.words.h[self.words.first[i] : self.words.first[i + 1]]
+            runs = shared_runs(text, item, offset, least)
+            if runs and d != last:
+                last, letters = d, words.texts(d)
+            other = self.words.texts(i) if runs else []
+            for s, n in runs:
+                found += [(d, i, a, a - offset, b) for a, b in equal_runs(letters[s : s + n], other[s - offset : s - offset + n], s, least)]
         return found
 
 
@@ -185,8 +201,9 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     items = _items(test)
     if not _is_small(items, SMALL_BYTES):
         found = _joined_spans(common.id_text(docs).where("text is not null"), items, MIN_WORDS)
-        gone = common.written(spark, found.select(F.col("digest").alias("__gone")).distinct(), "contaminated")
-        return docs.join(gone, F.unhex(F.sha2(docs["text"].cast("string"), 256)) == F.col("__gone"), "left_anti")
+        name = common.fresh_name(docs, "gone")
+        gone = common.written(spark, found.select(F.col("digest").alias(name)).distinct(), "contaminated")
+        return docs.join(gone, F.unhex(F.sha2(docs["text"].cast("string"), 256)) == F.col(name), "left_anti")
     shared = spark.sparkContext.broadcast(_collected(items))
 
     @F.arrow_udf("boolean")

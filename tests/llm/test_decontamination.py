@@ -90,3 +90,21 @@ def test_empty(spark, table, case):
     none = spark.createDataFrame([], "item_id long, text string")
     assert d.contaminated_spans(spark, table([]), none).count() == 0
     assert d.contaminated_spans(spark, table(case[0]), none).count() == 0
+
+
+def test_words_of_a_periodic_pattern(spark, table):
+    """Words that follow the Thue-Morse sequence and its complement, of one hash under polynomials modulo 2**64."""
+    t = "a"
+    while len(t) < 1024:
+        t += t.translate(str.maketrans("ab", "ba"))
+    u = t.translate(str.maketrans("ab", "ba"))
+    line = "one two three four {} five six seven eight nine"
+    test = spark.createDataFrame([(1, line.format(t))], "item_id long, text string")
+    got = d.contaminated_spans(spark, table([(1, line.format(u)), (2, line.format(t))]), test).collect()
+    assert [(r["doc_id"], r["words"]) for r in got] == [(2, 10)]
+
+
+def test_equal_runs():
+    assert d.equal_runs([b"a", b"b"], [b"a", b"b"], 7, 2) == [(7, 2)]
+    assert d.equal_runs([b"a", b"x", b"b", b"c", b"d"], [b"a", b"y", b"b", b"c", b"d"], 10, 2) == [(12, 3)]
+    assert d.equal_runs([b"a"], [b"b"], 0, 1) == []
