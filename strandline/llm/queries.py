@@ -39,7 +39,7 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.similar_pairs(tuned(spark), table(spark, sf_dir, "documents"))
+    return ngram_join.similar_documents(tuned(spark), table(spark, sf_dir, "documents"))
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,11 +78,13 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, min(i) AS start_word, max(i) - min(i) + 50 AS n_words, count(*) AS windows, count(*) FILTER (WHERE r = 1) AS first_windows, max(n) AS max_copies
             FROM g GROUP BY doc_id, run""",
         "op8_ngram_jaccard_join": r"""
-            WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[0-9a-z\x{80}-\x{10FFFF}]+') AS ws FROM documents),
+            WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(text), '[0-9a-z\x{80}-\x{10FFFF}]+') AS ws FROM documents),
             g AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 2], ' ') AS gram
                   FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
             s AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
-            c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL)
-            SELECT a AS doc_id_a, b AS doc_id_b, common / (x.n + y.n - common) AS jaccard
-            FROM c JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE common >= 0.6 * (x.n + y.n - common) - 1e-9""",
+            c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY ALL),
+            p AS (SELECT a, b FROM c JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE common >= 0.6 * (x.n + y.n - common) - 1e-9
+                  UNION SELECT a.doc_id, b.doc_id FROM documents a JOIN documents b ON a.text = b.text AND a.doc_id <> b.doc_id WHERE a.text <> ''),
+            r AS (SELECT a AS node, b AS root FROM p UNION SELECT r.node, p.b FROM r JOIN p ON p.a = r.root)
+            SELECT p.a AS doc_id, least(p.a, min(r.root)) AS class_id, (SELECT count(*) FROM p q WHERE q.a = p.a) AS links FROM p JOIN r ON r.node = p.a GROUP BY p.a""",
     }
