@@ -63,6 +63,12 @@ def field_name(text: str) -> str:
     return "_" + out if out[:1].isdigit() else out
 
 
+def field_names(text: Column) -> Column:
+    """:func:`field_name` of a column."""
+    out = F.regexp_replace(text, "[^A-Za-z0-9_]", "_")
+    return F.when(out.rlike("^[0-9]"), F.concat(F.lit("_"), out)).otherwise(out)
+
+
 def in_column_order(columns: list[str], configured: str | None) -> list[str]:
     """INFO columns as configured (others left out); all of them, as they are, without a configuration."""
     order = [c for c in (configured or "").split(",") if c]

@@ -18,6 +18,11 @@ def is_variant_spec(key: str) -> bool:
     return bool(re.fullmatch(r"rs[0-9]+.*", key) or _SHORT.fullmatch(key) or _LONG.fullmatch(key))
 
 
+def names_variant(key: Column) -> Column:
+    """:func:`is_variant_spec` of a column."""
+    return key.rlike(rf"^(?:rs[0-9]+.*|{_SHORT.pattern}|{_LONG.pattern})$")
+
+
 def spec_fields(key: str) -> dict[str, str]:
     """Fields of a four- or six-field spec. An rs number can't be looked up, as no table holds them."""
     if key.startswith("rs"):
@@ -57,17 +62,17 @@ def exploded_info(rows: DataFrame, key: str = "variant_id", info: str = "info")
 
 
 def numeric_columns(info: DataFrame) -> DataFrame:
-    """(info_key, continuous): a column is numeric when more than half of its distinct values hold numbers only and at most one holds none.
+    """(info_key, continuous): a column is numeric when more than half of its distinct values, or more than 10,000 of them, hold numbers only, and at most one holds none.
     Commas part several numbers; a lone dot is a missing one."""
     value = info.select("info_key", "info_value").distinct()
     parts = F.filter(F.split("info_value", ","), lambda x: x != ".")
     good = (F.size(parts) > 0) & F.forall(parts, lambda x: x.try_cast("double").isNotNull())
-    return value.groupBy("info_key").agg(((F.sum(good.cast("int")) * 2 > F.count("*")) & (F.sum((~good).cast("int")) <= 1)).alias("continuous"))
+    return value.groupBy("info_key").agg((((F.sum(good.cast("int")) * 2 > F.count("*")) | (F.sum(good.cast("int")) > 10_000)) & (F.sum((~good).cast("int")) <= 1)).alias("continuous"))
 
 
 def with_numbers(info: DataFrame, columns: DataFrame) -> DataFrame:
     """``info`` with info_num (32 bits): values of numeric columns are split at commas, one row a number."""
-    tagged = info.join(F.broadcast(columns.select("info_key", "continuous")), "info_key", "left")
+    tagged = info.join(columns.select("info_key", "continuous"), "info_key", "left")
     split = tagged.withColumn("one", F.explode(F.when(F.col("continuous"), F.split("info_value", ",")).otherwise(F.array("info_value"))))
     number = F.when(F.col("continuous"), F.col("one").try_cast("float"))
     return split.where(~F.col("continuous") | (F.col("one") != ".")).select("variant_id", "info_key", F.col("one").alias("info_value"), number.alias("info_num"))

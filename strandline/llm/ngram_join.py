@@ -41,7 +41,7 @@ N, TAU, ORDERS, BLOCK = 3, 0.6, 3, 2048
 ROWS, WIDTH = 128, 8192
 BITS = 48
 #: Tokens that a task packs together: the more, the fewer and larger rows it sends.
-FLUSH = 1 << 21
+FLUSH = 1 << 20
 _PACKED = "bucket int, base long, ids binary, sizes binary, counts binary, tokens binary, dfs binary"
 _LINKED = "doc_id long, low long, links long, alone boolean"
 _DOC = "doc_id long, size int, tokens binary, marks binary, keys array<long>"

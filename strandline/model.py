@@ -130,7 +130,7 @@ def from_json(x: dict | str) -> Query:
         info_groups=(info,) if info else (),
         result=ResultType(x.get("expectedResultType") or "COUNT"),
         id=x.get("id"),
-        external_id=x.get("picsureId"),
+        external_id=x.get("externalId"),
     )
 
 
@@ -149,7 +149,7 @@ def to_json(q: Query) -> dict:
         "phenotypicClause": _clause_json(q.clause),
         "genomicFilters": [{"key": g.key, "values": g.values, "min": g.low, "max": g.high} for group in (q.specs, *q.info_groups) for g in group],
         "expectedResultType": q.result.value,
-        "picsureId": q.external_id,
+        "externalId": q.external_id,
         "id": q.id,
     }
 

@@ -1,4 +1,4 @@
-"""Counts over a cohort. Each is one grouped aggregate, however many concepts are asked for."""
+"""Counts over a cohort. Each is one grouped aggregate, however many concepts are asked for; :func:`in_order` sorts its result as the result types' maps are."""
 
 from __future__ import annotations
 
@@ -86,6 +86,11 @@ def continuous_cross_count_flat(ds: Dataset, q: FlatQuery) -> DataFrame:
     return out.where(inside)
 
 
+def in_order(rows: DataFrame) -> DataFrame:
+    """A count's rows by path, and by category or value where it has them."""
+    return rows.orderBy(*(c for c in ("concept_path", "category", "value") if c in rows.columns))
+
+
 def patient_concept_count(ds: Dataset, q: Query) -> DataFrame:
     """(concepts, patients): selected paths that exist, and the cohort's size."""
     concepts = ds.observations.where(F.col("concept_path").isin(list(q.select))).agg(F.countDistinct("concept_path").alias("concepts"))

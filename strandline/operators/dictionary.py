@@ -51,6 +51,11 @@ def page(rows: DataFrame, order: list[Column], number: int, size: int) -> tuple[
     return rows.orderBy(*order).offset((number - 1) * size).limit(size), total, math.ceil(total / size)
 
 
+def totals(concepts: DataFrame) -> DataFrame:
+    """(categorical, concepts, observations) of the dictionary, numeric concepts first."""
+    return concepts.groupBy("categorical").agg(F.count("*").alias("concepts"), F.sum("observation_count").alias("observations"))
+
+
 def flat_file(concepts: DataFrame) -> DataFrame:
     """The dictionary as an eleven-column file: categories joined by the micro sign; file offsets, which tables have no use for, are 0."""
     zero = F.lit(0).cast("long")

@@ -55,13 +55,14 @@ def first_value(ds: Dataset, q: Query, concepts: DataFrame | None = None) -> Dat
     paths = [p for p in q.select if not is_variant_spec(p)]
     item = F.struct("seq", "nval", F.trim("tval").alias("tval"))
     wide = _pivoted(ds, people, paths, item, F.min)
-    from strandline.operators import dictionary
     from strandline.operators.validate import kinds
 
     known = list(dict.fromkeys(paths))
-    types = kinds(dictionary.build(ds.observations.where(F.col("concept_path").isin(known))) if concepts is None else concepts, known) if known else {}
+    if concepts is None:
+        concepts = ds.concepts if ds.concepts is not None else ds.with_tables(observations=ds.observations.where(F.col("concept_path").isin(known))).dictionary()
+    types = kinds(concepts, known) if known else {}
     for spec in (p for p in dict.fromkeys(q.select) if is_variant_spec(p)):
-        gt = ds.genotypes.join(genomic.variants_named(ds, spec).select("variant_id"), "variant_id", "left_semi").where(F.col("zygosity").isin(HET, HOM))
+        gt = genomic.at_spec(ds, spec).genotypes.join(genomic.variants_named(ds, spec).select("variant_id"), "variant_id", "left_semi").where(F.col("zygosity").isin(HET, HOM))
         wide = wide.join(gt.groupBy("patient_num").agg(F.max("zygosity").alias("spec:" + spec)), "patient_num", "left")
     cells = []
     for p in q.select:
@@ -74,6 +75,21 @@ def first_value(ds: Dataset, q: Query, concepts: DataFrame | None = None) -> Dat
     return wide.select(F.col("patient_num").alias("Patient ID"), *cells)
 
 
+def by_value(rows: DataFrame) -> DataFrame:
+    """Observations by number or, where there is none, text; a missing value comes first, and equal ones stay in load order."""
+    return rows.orderBy(F.col("concept_path"), F.asc_nulls_first("nval"), F.asc_nulls_first("tval"), "patient_num", "seq")
+
+
+def by_time(rows: DataFrame) -> DataFrame:
+    """Observations by time stamp; those without one come first, and equal ones stay in load order."""
+    return rows.orderBy(F.col("concept_path"), F.asc_nulls_first("ts_ms"), "patient_num", "seq")
+
+
+def by_patient(rows: DataFrame) -> DataFrame:
+    """Observations by patient, each one's in load order."""
+    return rows.orderBy("concept_path", "patient_num", "seq")
+
+
 def timeseries(ds: Dataset, q: Query) -> DataFrame:
     """One row an observation of the cohort in every selected or filtered concept; an any-record-of filter stands for all concepts below it."""
     exact = set(q.select)

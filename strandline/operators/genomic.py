@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 import numpy as np
@@ -52,6 +53,13 @@ def carriers(ds: Dataset, variants: DataFrame, zygosities: tuple[str, ...] = (HE
     return rows.join(variants.select("variant_id"), "variant_id", "left_semi").select("patient_num").distinct()
 
 
+def at_spec(ds: Dataset, key: str) -> Dataset:
+    """The dataset with the genotypes of one spec's contig and bucket only: a scan of one folder's few row groups."""
+    f = spec_fields(key)
+    here = (F.col("chrom") == f["chrom"]) & (F.col("bucket") == int(float(f["pos"])) // BUCKET)
+    return replace(ds, genotypes=ds.genotypes.where(here))
+
+
 def zygosities_of(g: GenomicFilter) -> tuple[str, ...]:
     """An empty entry means both; the reference genotype adds nobody."""
     if g.values is None:
@@ -61,14 +69,15 @@ def zygosities_of(g: GenomicFilter) -> tuple[str, ...]:
 
 def patient_sets(ds: Dataset, q: Query) -> list[DataFrame]:
     """A set of patients for each genomic condition, all of which a cohort must be in."""
-    named = [carriers(ds, variants_named(ds, g.key), zygosities_of(g)) for g in q.specs]
+    named = [carriers(at_spec(ds, g.key), variants_named(ds, g.key), zygosities_of(g)) for g in q.specs]
     return named + [carriers(ds, variants_with(ds, group)) for group in q.info_groups]
 
 
 def bucket_index(ds: Dataset) -> DataFrame:
     """(patient_num, chrom, bucket) of every bucket where a patient has any variant, heterozygous no-calls included."""
-    rows = ds.genotypes.where(F.col("zygosity").isin(HET, HOM, HET_NO_CALL))
-    return rows.join(ds.variants.select("variant_id", "chrom", "bucket"), "variant_id").select("patient_num", "chrom", "bucket").distinct()
+    if ds.buckets is not None:
+        return ds.buckets
+    return ds.genotypes.where(F.col("zygosity").isin(HET, HOM, HET_NO_CALL)).select("patient_num", "chrom", "bucket").distinct()
 
 
 def in_buckets_of(ds: Dataset, variants: DataFrame, cohort: DataFrame, index: DataFrame | None = None) -> DataFrame:
@@ -82,7 +91,8 @@ def variant_list(ds: Dataset, q: Query, cohort: DataFrame) -> DataFrame:
     if not q.info_groups:
         return ds.variants.limit(0)
     wanted = reduce(lambda a, b: a.union(b), [variants_with(ds, g) for g in q.info_groups])
-    carried = ds.genotypes.where(F.col("zygosity").isin(HET, HOM, HET_NO_CALL)).join(cohort, "patient_num", "left_semi").select("variant_id")
+    rows = ds.genotypes.where(F.col("zygosity").isin(HET, HOM, HET_NO_CALL)).join(wanted, "variant_id", "left_semi")
+    carried = rows.join(cohort, "patient_num", "left_semi").select("variant_id")
     return ds.variants.join(wanted, "variant_id", "left_semi").join(carried, "variant_id", "left_semi")
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.functions.variants import FIELDS
+from strandline.functions.variants import FIELDS, exploded_info, numeric_columns, with_numbers
 from strandline.schema import Dataset
+from strandline.sources.scratch import written
 
 
 def append_patients(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -42,14 +43,37 @@ def merge_genomic(a: Dataset, b: Dataset) -> Dataset:
     )
 
 
+def numbered(ordered: DataFrame, column: str) -> DataFrame:
+    """Rows numbered from 0 in the order they have, partition after partition, without bringing them to one task."""
+    # the place's upper bits are the partition, the lower ones the row in it; it is stored with the row, so that a partition made again can't be numbered otherwise
+    placed = written(ordered.sparkSession, ordered.drop(column).withColumn("place", F.monotonically_increasing_id()), "numbered").withColumn("range", F.shiftright("place", 33))
+    sizes = placed.groupBy("range").agg(F.count("*").alias("n"))
+    before = sizes.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("base"))  # one row a partition
+    return placed.join(before, "range").withColumn(column, F.col("base") + F.col("place") % (1 << 33)).drop("base", "range", "place")
+
+
 def number_variants(variants: DataFrame) -> DataFrame:
-    """Dense ids from 0 in variant order. Contigs are numbered side by side, each from the number of variants on those before it."""
-    order = Window.partitionBy("chrom").orderBy(*FIELDS[1:])
-    sizes = variants.groupBy("chrom").agg(F.count("*").alias("n"))
-    # one row a contig: the window over all of them stays small
-    before = sizes.withColumn("base", F.sum("n").over(Window.orderBy("chrom").rowsBetween(Window.unboundedPreceding, -1))).select("chrom", F.coalesce("base", F.lit(0)).alias("base"))
-    numbered = variants.withColumn("r", F.row_number().over(order)).join(F.broadcast(before), "chrom")
-    return numbered.withColumn("variant_id", (F.col("base") + F.col("r") - 1).cast("int")).select(variants.columns)
+    """Dense ids from 0 in variant order. Variants are sorted in ranges, which may cut a contig anywhere, and stored; each range is then numbered from the number of variants before it."""
+    ranges = variants.repartitionByRange(*FIELDS).sortWithinPartitions(*FIELDS)
+    return numbered(ranges, "variant_id").withColumn("variant_id", F.col("variant_id").cast("int")).select(variants.columns)
+
+
+def contig_order(rows: DataFrame, place: str = "seq") -> DataFrame:
+    """(chrom, rank) of contigs in the order in which ``rows`` first has them by ``place``, from 0."""
+    first = rows.groupBy("chrom").agg(F.min(place).alias("first"))
+    return first.select("chrom", (F.row_number().over(Window.orderBy("first", "chrom")) - 1).alias("rank"))  # one row a contig
+
+
+def rebuilt_info(ds: Dataset) -> Dataset:
+    """The INFO tables made anew from the stored metadata: values exploded, column types inferred and ranges taken again; descriptions stay."""
+    raw = ds.variant_metadata.select("spec", F.explode("info_raw").alias("info")).join(ds.variants.select("spec", "variant_id"), "spec").select("variant_id", "info")
+    info = exploded_info(raw).distinct()
+    kinds = numeric_columns(info)
+    numbered = with_numbers(info, kinds)
+    ranges = numbered.groupBy("info_key").agg(F.min("info_num").alias("min"), F.max("info_num").alias("max"))
+    described = ds.info_columns.select("info_key", "description")
+    columns = kinds.join(described, "info_key", "left").join(ranges, "info_key").select("info_key", "description", "continuous", "min", "max")
+    return ds.with_tables(variant_info=numbered, info_columns=columns)
 
 
 def merge_metadata(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -57,6 +81,12 @@ def merge_metadata(a: DataFrame, b: DataFrame) -> DataFrame:
     return b.unionByName(a.join(b.select("spec"), "spec", "left_anti"))
 
 
+def united_metadata(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Metadata of both; where both have a spec, the INFO strings of either."""
+    entry = a.unionByName(b).select("spec", "chrom", "bucket", F.explode_outer("info_raw").alias("raw"))
+    return entry.groupBy("spec", "chrom", "bucket").agg(F.array_sort(F.collect_set("raw")).alias("info_raw"))
+
+
 def remap_patients(table: DataFrame, mapping: DataFrame, strict: bool = False) -> DataFrame:
     """patient_num by ``mapping(old_id, new_id)``. Patients without a mapping keep their id, or raise if ``strict`` (as genotypes need)."""
     joined = table.join(mapping.select("old_id", "new_id"), table["patient_num"] == F.col("old_id"), "left")
@@ -89,15 +119,36 @@ def source_rows(observations: DataFrame) -> DataFrame:
     return observations.select(F.col("patient_num").alias("PATIENT_NUM"), F.col("concept_path").alias("CONCEPT_PATH"), F.col("nval").alias("NUMERIC_VALUE"), F.col("tval").alias("TEXT_VALUE"), F.col("ts_ms").alias("DATETIME"))
 
 
-def encrypted(table: DataFrame, columns: list[str], key: bytes) -> DataFrame:
-    """Columns sealed with AES-GCM (a random vector of 12 bytes, then the text, then the tag)."""
-    return table.withColumns({c: F.aes_encrypt(F.col(c).cast("string"), F.lit(key), F.lit("GCM")) for c in columns})
+class Keys:
+    """Keys by name, read from files of hexadecimal digits or given as bytes; the one called ``default`` is used where none is named."""
+
+    def __init__(self, **keys: bytes) -> None:
+        self.keys = dict(keys)
+
+    def read(self, name: str, path: str) -> None:
+        with open(path) as f:
+            self.keys[name] = bytes.fromhex(f.read().strip())
+
+    def __getitem__(self, name: str) -> bytes:
+        if name not in self.keys:
+            raise KeyError(f"no key named {name}")
+        return self.keys[name]
+
+
+def _key(key: bytes | Keys) -> bytes:
+    return key["default"] if isinstance(key, Keys) else key
+
+
+def encrypted(table: DataFrame, columns: list[str], key: bytes | Keys) -> DataFrame:
+    """Columns sealed with AES-GCM: the vector's length as four bytes, a random vector of 12 bytes, the text, the tag."""
+    length = F.lit(bytes([0, 0, 0, 12]))
+    return table.withColumns({c: F.concat(length, F.aes_encrypt(F.col(c).cast("string"), F.lit(_key(key)), F.lit("GCM"))) for c in columns})
 
 
-def decrypted(table: DataFrame, columns: dict[str, str], key: bytes) -> DataFrame:
+def decrypted(table: DataFrame, columns: dict[str, str], key: bytes | Keys) -> DataFrame:
     """Sealed columns opened; columns: name -> type."""
-    return table.withColumns({c: F.aes_decrypt(F.col(c), F.lit(key), F.lit("GCM")).cast("string").cast(t) for c, t in columns.items()})
+    return table.withColumns({c: F.aes_decrypt(F.substring(F.col(c), 5, 1 << 30), F.lit(_key(key)), F.lit("GCM")).cast("string").cast(t) for c, t in columns.items()})
 
 
-def rekeyed(table: DataFrame, columns: dict[str, str], old: bytes, new: bytes) -> DataFrame:
+def rekeyed(table: DataFrame, columns: dict[str, str], old: bytes | Keys, new: bytes | Keys) -> DataFrame:
     return encrypted(decrypted(table, columns, old), list(columns), new)

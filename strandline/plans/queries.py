@@ -260,8 +260,8 @@ def _store_scan(ds: Dataset) -> DataFrame:
     return back.observations.where(F.col("concept_path") == BALANCE).join(carried, "patient_num", "left").select("patient_num", "nval", "n")
 
 
-query("columnmeta_file", """SELECT concept_path AS name, coalesce(max(strlen(tval)), 8)::INT AS width_in_bytes, count(nval) = 0 AS categorical, min(nval) AS min, max(nval) AS max, count(*) AS observation_count,
-    count(DISTINCT patient_num) AS patient_count FROM obs GROUP BY concept_path""")(
-    lambda ds: dictionary.flat_file(dictionary.build(ds.observations)).select("name", "width_in_bytes", "categorical", "min", "max", "observation_count", "patient_count")
-)
+query("columnmeta_file", """SELECT concept_path AS name, coalesce(max(strlen(tval)), 8)::INT AS width_in_bytes, 0 AS column_offset, count(nval) = 0 AS categorical,
+    coalesce(array_to_string(list_sort(list_distinct(list(tval) FILTER (WHERE tval IS NOT NULL))), 'µ'), '') AS category_values, min(nval) AS min, max(nval) AS max, 0::BIGINT AS all_observations_offset, 0::BIGINT AS all_observations_length,
+    count(*) AS observation_count, count(DISTINCT patient_num) AS patient_count FROM obs GROUP BY concept_path""")(lambda ds: dictionary.flat_file(ds.dictionary()))
+query("dictionary_totals", "SELECT categorical, count(*) AS concepts, sum(n)::BIGINT AS observations FROM (SELECT count(nval) = 0 AS categorical, count(*) AS n FROM obs GROUP BY concept_path) GROUP BY 1")(lambda ds: dictionary.totals(ds.dictionary()))
 query("iso_instant", f"SELECT DISTINCT ts_ms, {_ISO} AS iso FROM obs WHERE ts_ms IS NOT NULL")(lambda ds: ds.observations.where("ts_ms is not null").select("ts_ms", fo.iso_instant(F.col("ts_ms")).alias("iso")).distinct())

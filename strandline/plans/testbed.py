@@ -13,6 +13,11 @@ PRICE, PRIORITY, STATUS = "\\demo\\orders\\TOTALPRICE\\", "\\demo\\orders\\PRIOR
 EVENTS = "\\demo\\events\\"
 
 
+#: A part's contig and position.
+CONTIG = lambda key: F.concat(F.lit("chr"), (F.col(key) % 22 + 1).cast("string"))
+PLACE = "({} * 137 + 10000)".format
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -47,7 +52,7 @@ def dataset(spark: SparkSession, sf_dir: str) -> Dataset:
     part, lineitem, orders = (table(spark, sf_dir, n) for n in ("part", "lineitem", "orders"))
     letter = lambda shift: F.substring(F.lit("ACGT"), (F.col("p_size") + shift) % 4 + 1, F.lit(1))
     variants = part.select(
-        F.col("p_partkey").cast("int").alias("variant_id"), F.concat(F.lit("chr"), (F.col("p_partkey") % 22 + 1).cast("string")).alias("chrom"), (F.col("p_partkey") * 137 + 10000).cast("int").alias("pos"),
+        F.col("p_partkey").cast("int").alias("variant_id"), CONTIG("p_partkey").alias("chrom"), F.expr(PLACE("p_partkey")).cast("int").alias("pos"),
         letter(0).alias("ref"), letter(1).alias("alt"), F.translate("p_brand", "#", "_").alias("gene"), F.lower("p_type").alias("consequence"), F.col("p_retailprice"),
     )
     frequency = (F.col("p_retailprice") / 1e6).cast("float")
@@ -56,7 +61,7 @@ def dataset(spark: SparkSession, sf_dir: str) -> Dataset:
     entries = [entry("Gene_with_variant", F.col("gene"), none), entry("Variant_consequence_calculated", F.col("consequence"), none), entry("Variant_frequency", frequency.cast("string"), frequency)]
     info = variants.select("variant_id", F.inline(F.array(*entries)))
     flags = lineitem.join(orders, lineitem["l_orderkey"] == orders["o_orderkey"]).groupBy("o_custkey", "l_partkey").agg(F.min("l_returnflag").alias("flag"))
-    genotypes = flags.where("flag in ('A', 'R')").select(F.col("l_partkey").cast("int").alias("variant_id"), F.col("o_custkey").cast("int").alias("patient_num"), F.when(F.col("flag") == "A", "0/1").otherwise("1/1").alias("zygosity"))
+    genotypes = flags.where("flag in ('A', 'R')").select(F.col("l_partkey").cast("int").alias("variant_id"), F.col("o_custkey").cast("int").alias("patient_num"), F.when(F.col("flag") == "A", "0/1").otherwise("1/1").alias("zygosity"), CONTIG("l_partkey").alias("chrom"), F.expr(f"{PLACE('l_partkey')} div {BUCKET}").cast("int").alias("bucket"))
     columns = spark.createDataFrame([("Gene_with_variant", "gene", False, None, None), ("Variant_consequence_calculated", "consequence", False, None, None), ("Variant_frequency", "frequency", True, None, None)], "info_key string, description string, continuous boolean, min float, max float")
     spec = F.concat_ws(",", "chrom", F.col("pos").cast("string"), "ref", "alt", "gene", "consequence")
     placed = variants.withColumn("spec", spec).withColumn("bucket", F.expr(f"pos div {BUCKET}").cast("int"))

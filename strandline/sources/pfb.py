@@ -8,13 +8,18 @@ from __future__ import annotations
 
 import io
 import json
+import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import nullcontext
+from urllib.parse import urlsplit
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 
 from strandline.functions.observations import field_name
+from strandline.sources.scratch import folder
 
 MARKER = bytes(range(16))
 NULLABLE = ["null", "string"]
@@ -101,14 +106,35 @@ def blocks(rows: DataFrame, query_id: str) -> DataFrame:
     return rows.mapInArrow(run, "block binary")
 
 
-def write(rows: DataFrame, query_id: str, out: io.IOBase, details: dict[str, dict] | None = None) -> None:
-    """Write one file; blocks come to the driver a partition at a time."""
+def _open(path: str, mode: str):
+    fs, inner = pafs.FileSystem.from_uri(path) if urlsplit(path).scheme else (pafs.LocalFileSystem(), path)
+    return fs.open_output_stream(inner) if mode == "w" else fs.open_input_stream(inner)
+
+
+def write(rows: DataFrame, query_id: str, out: io.IOBase | str, details: dict[str, dict] | None = None) -> None:
+    """Write one file. Tasks write their blocks to files of their own in the shared folder; the driver only appends these bytes, a few MB at a time, to the header."""
     fields = [field_name(c) for c in rows.columns]
     if len(set(fields)) < len(fields):
         raise ValueError("two columns have the same field name")
-    out.write(head(list(rows.columns), query_id, details))
-    for r in blocks(rows, query_id).toLocalIterator():
-        out.write(bytes(r["block"]))
+    parts = folder(rows.sparkSession, "pfb")
+
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            name = f"{parts}/{uuid.uuid4().hex}"
+            fs, inner = pafs.FileSystem.from_uri(name)
+            fs.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+            with fs.open_output_stream(inner) as f:
+                for block in b.column(0).to_pylist():
+                    f.write(block)
+            yield pa.record_batch([pa.array([name])], names=["file"])
+
+    files = [r["file"] for r in blocks(rows, query_id).mapInArrow(store, "file string").collect()]  # names only; what a repeated task leaves isn't among them
+    with _open(out, "w") if isinstance(out, str) else nullcontext(out) as f:
+        f.write(head(list(rows.columns), query_id, details))
+        for name in files:
+            with _open(name, "r") as part:
+                while chunk := part.read(8 << 20):
+                    f.write(chunk)
 
 
 def read(raw: bytes) -> tuple[dict, list[dict]]:

@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import observations as fo
@@ -40,10 +40,21 @@ def read_config(path_or_text: str) -> dict[str, dict]:
     return loaded if isinstance(loaded, dict) else {x["file_name"]: x for x in loaded}
 
 
-def _raw_csv(spark: SparkSession, paths: str | list[str], header: bool) -> DataFrame:
-    """Rows with their file and their place in it. Files are split only where no quoted field can span lines, so whole files are one task each."""
-    df = spark.read.schema(_RAW).csv(paths, header=header, multiLine=True, quote='"', escape='"', mode="PERMISSIVE", enforceSchema=True)
-    return df.select(*COLUMNS, F.col("_metadata.file_path").alias("file")).where("patient is not null and path is not null")
+def quoted_line_ends(spark: SparkSession, paths: str | list[str]) -> bool:
+    """Whether some quoted field holds a line end: then, and only then, a line has an odd number of quotes."""
+    return bool(spark.read.text(paths).where("length(value) - length(replace(value, '\"', '')) & 1 = 1").limit(1).count())
+
+
+def raw_csv(spark: SparkSession, paths: str | list[str], header: bool = False) -> DataFrame:
+    """Raw records (``COLUMNS``, ``file``, ``seq``) in load order: files by name, rows as they stand. Files are split into tasks, unless a quoted field spans lines.
+
+    seq is made of the file's rank and the place in it: the block's first byte plus the row's number in its task. A task has less rows than a block has bytes, so
+    it rises from block to block."""
+    df = spark.read.schema(_RAW).csv(paths, header=header, multiLine=quoted_line_ends(spark, paths), quote='"', escape='"', mode="PERMISSIVE", enforceSchema=True)
+    rows = df.select(*COLUMNS, F.col("_metadata.file_path").alias("file"), (F.col("_metadata.file_block_start") + F.monotonically_increasing_id() % (1 << 33)).alias("place"))
+    listed = spark.read.format("binaryFile").load(paths).select(F.col("_metadata.file_path").alias("file")).distinct()
+    ranked = listed.select("file", (F.row_number().over(Window.orderBy("file")) - 1).cast("bigint").alias("rank"))  # one row a file
+    return rows.where("patient is not null and path is not null").join(ranked, "file").select(*COLUMNS, "file", (F.shiftleft("rank", 42) + F.col("place")).alias("seq"))
 
 
 def normalise(raw: DataFrame, mode: Mode = PLAIN, config: dict[str, dict] | None = None) -> DataFrame:
@@ -64,24 +75,26 @@ def normalise(raw: DataFrame, mode: Mode = PLAIN, config: dict[str, dict] | None
 
 
 def _numbered(raw: DataFrame) -> DataFrame:
-    """Load order: partitions in order, rows within. The identifier is taken right after the scan, so it follows the files' order."""
+    """Load order of a query's rows: partitions in order, rows within."""
     return raw.withColumn("seq", F.monotonically_increasing_id())
 
 
 def read_csv(spark: SparkSession, paths: str | list[str], mode: Mode = PLAIN, config: dict[str, dict] | None = None) -> DataFrame:
     """Observations of one or more files, or of all files of a directory."""
-    return normalise(_numbered(_raw_csv(spark, paths, mode.header)), mode, config)
+    return normalise(raw_csv(spark, paths, mode.header), mode, config)
 
 
-def ingest_status(spark: SparkSession, path: str, observations: DataFrame, header: bool = True) -> DataFrame:
+def ingest_status(spark: SparkSession, path: str, observations: DataFrame) -> DataFrame:
     """(file, lines, concepts, observations) of a load; lines count the header."""
     lines = spark.read.text(path).agg(F.count("*").alias("lines"))
     return lines.crossJoin(observations.agg(F.countDistinct("concept_path").alias("concepts"), F.count("*").alias("observations"))).select(F.lit(path).alias("file"), "lines", "concepts", "observations")
 
 
 def read_jdbc(spark: SparkSession, url: str, query: str, properties: dict[str, str] | None = None, mode: Mode = SQL) -> DataFrame:
-    """Observations of a SQL query whose first five columns are those of the files."""
-    df = spark.read.format("jdbc").options(url=url, query=query, **(properties or {})).load()
+    """Observations of a SQL query whose first five columns are those of the files. With partitionColumn, lowerBound, upperBound and numPartitions
+    among the properties, as many connections read it side by side."""
+    asked = {"dbtable": f"({query}) q"} if "partitionColumn" in (properties or {}) else {"query": query}
+    df = spark.read.format("jdbc").options(url=url, **asked, **(properties or {})).load()
     return normalise(_numbered(from_rows(df)), mode)
 
 
@@ -91,10 +104,11 @@ def from_rows(df: DataFrame) -> DataFrame:
 
 
 def read_sequence(spark: SparkSession, sources: Iterable[DataFrame], mode: Mode = PLAIN) -> DataFrame:
-    """Observations of several raw sources (files, queries), loaded one after the other."""
+    """Observations of several raw sources (``raw_csv``, ``from_rows``), up to 128 of them, loaded one after the other."""
     raw = None
     for i, source in enumerate(sources):
-        own = source.withColumn("seq", F.lit(i).cast("bigint") * (1 << 55) + F.monotonically_increasing_id())
+        place = F.col("seq") if "seq" in source.columns else F.monotonically_increasing_id()
+        own = source.withColumn("seq", F.lit(i).cast("bigint") * (1 << 56) + place)
         raw = own if raw is None else raw.unionByName(own)
     return normalise(raw, mode)
 

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 
 from strandline.model import FlatQuery, Query, ResultType
-from strandline.operators import counts, dictionary, exports, validate, variants
+from strandline.operators import counts, exports, validate, variants
 from strandline.schema import Dataset
+from strandline.sources import pfb
 
 Builder = Callable[[Dataset, Query], DataFrame]
 
@@ -27,13 +28,15 @@ BUILDERS: dict[ResultType, Builder] = {
     ResultType.DATAFRAME: exports.multi_value_text,
     ResultType.SECRET_ADMIN_DATAFRAME: exports.first_value,
     ResultType.DATAFRAME_TIMESERIES: exports.timeseries,
-    ResultType.DATAFRAME_PFB: exports.multi_value,
+    ResultType.DATAFRAME_PFB: exports.multi_value,  # the rows; write_pfb makes the file
     ResultType.PATIENTS: exports.patients,
 }
 FLAT_BUILDERS: dict[ResultType, Callable[[Dataset, FlatQuery], DataFrame]] = {
     ResultType.CATEGORICAL_CROSS_COUNT: counts.categorical_cross_count_flat,
     ResultType.CONTINUOUS_CROSS_COUNT: counts.continuous_cross_count_flat,
 }
+#: Result types whose rows come in order of path, and of category or value.
+SORTED = {ResultType.CROSS_COUNT, ResultType.OBSERVATION_CROSS_COUNT, ResultType.CATEGORICAL_CROSS_COUNT, ResultType.CONTINUOUS_CROSS_COUNT}
 #: Result types that must be allowed by name, as they give rows of persons' variants away.
 GUARDED = {ResultType.VARIANT_LIST_FOR_QUERY, ResultType.VCF_EXCERPT, ResultType.AGGREGATE_VCF_EXCERPT}
 
@@ -49,7 +52,7 @@ class Engine:
     @property
     def concepts(self) -> DataFrame:
         if self._concepts is None:
-            self._concepts = dictionary.build(self.ds.observations)
+            self._concepts = self.ds.dictionary()
         return self._concepts
 
     def answer(self, q: Query | FlatQuery) -> DataFrame:
@@ -58,11 +61,16 @@ class Engine:
         if isinstance(q, FlatQuery):
             validate.validate_flat(q, self.concepts)
             if q.result in FLAT_BUILDERS:
-                return FLAT_BUILDERS[q.result](self.ds, q)
+                return counts.in_order(FLAT_BUILDERS[q.result](self.ds, q))
             q = q.compile()
         else:
             validate.validate(q, self.concepts)
-        return BUILDERS[q.result](self.ds, q)
+        rows = BUILDERS[q.result](self.ds, q)
+        return counts.in_order(rows) if q.result in SORTED else rows
+
+    def write_pfb(self, q: Query, path: str, details: dict[str, dict] | None = None) -> None:
+        """Answer a query of type DATAFRAME_PFB as what it is, one Avro file."""
+        pfb.write(self.answer(replace(q, result=ResultType.DATAFRAME_PFB)), q.id or q.name(), path, details)
 
     def share(self, q: Query, root: str) -> dict[str, str]:
         """Write a query's files under its id: patients, phenotypic rows and, where variants are asked for and allowed, genomic rows."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from strandline.functions import variants as fv
 from strandline.operators.maintain import number_variants
 from strandline.schema import BUCKET, Dataset
+from strandline.sources.scratch import written
 
 INDEX_COLUMNS = tuple("vcf_path chromosome isAnnotated isGzipped sample_ids patient_ids sample_relationship related_sample_ids".split())
 GENE, CONSEQUENCE = "Gene_with_variant", "Variant_consequence_calculated"
@@ -72,65 +74,71 @@ def write_index(rows: DataFrame, path: str) -> None:
     rows.select("file_group", *columns).repartition("file_group").write.partitionBy("file_group").csv(path, sep="\t", header=True, quoteAll=True)
 
 
-def _header(spark: SparkSession, file: VcfFile) -> tuple[list[str], dict[str, str]]:
-    """(sample names, INFO key -> description): read from the file's first lines only."""
-    head = spark.read.text(file.path).where(F.col("value").startswith("#")).limit(100_000).collect()
-    described, samples = {}, None
-    for r in head:
-        line = r["value"]
-        if line.startswith("##INFO=<") and "ID=" in line:
-            key = line.split("ID=", 1)[1].split(",", 1)[0].rstrip(">")
-            described[key] = line.split('Description="', 1)[1].rsplit('"', 1)[0] if 'Description="' in line else ""
-        elif line.startswith("#CHROM"):
-            samples = line.split("\t")[FIXED:]
-    if samples is None:
-        raise ValueError(f"{file.path} has no column header")
-    return samples, described
-
-
-def _calls(spark: SparkSession, file: VcfFile) -> tuple[DataFrame, dict[str, str]]:
-    """(chrom, pos, ref, alt, info, annotated, people array<struct<patient_num, zygosity>>) of a file's records, non-reference calls only."""
-    samples, described = _header(spark, file)
-    where = {s: i for i, s in enumerate(samples)}
-    missing = [s for s in file.samples if s not in where]
-    if missing:
-        raise ValueError(f"{file.path} has no sample {missing[0]}")
-    wanted = F.array(*(F.struct(F.lit(FIXED + where[s]).alias("at"), F.lit(p).alias("patient")) for s, p in zip(file.samples, file.patients)))
+def _lines(spark: SparkSession, files: list[VcfFile]) -> DataFrame:
+    """(value, file, number) of every line of the files, read together; number is the file's place in the list."""
+    conf = spark._jsc.hadoopConfiguration()
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(f.path) for f in files]
+    uris = [p.getFileSystem(conf).makeQualified(p).toUri().toString() for p in paths]
+    listed = spark.createDataFrame([(re.sub("^file:/+", "file:/", u), k) for k, u in enumerate(uris)], "file string, number int")
+    lines = spark.read.text([f.path for f in files]).select("value", F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/").alias("file"))
+    return lines.join(listed, "file")
+
+
+def _samples(spark: SparkSession, files: list[VcfFile], lines: DataFrame) -> DataFrame:
+    """(number, at, patient_num): which column of which file is whose. Raises where a file has no column header or lacks a sample that the index names."""
+    heads = lines.where(F.col("value").startswith("#CHROM"))
+    there = {r["number"] for r in heads.select("number").collect()}  # one row a file
+    for k, f in enumerate(files):
+        if k not in there:
+            raise ValueError(f"{f.path} has no column header")
     cell = F.split("value", "\t")
-    rows = spark.read.text(file.path).where(~F.col("value").startswith("#") & (F.col("value") != "")).select(cell.alias("c"))
-    calls = F.transform(wanted, lambda w: F.struct(w["patient"].alias("patient_num"), fv.genotype_class(F.get(F.col("c"), w["at"])).alias("zygosity")))
-    out = rows.select(
-        F.regexp_replace(F.get("c", 0), "^(?!chr)", "chr").alias("chrom"), F.get("c", 1).cast("int").alias("pos"), F.get("c", 3).alias("ref"), F.get("c", 4).alias("alt"),
-        F.get("c", 7).alias("info"), F.lit(file.annotated).alias("annotated"), F.filter(calls, lambda x: x["zygosity"].isNotNull()).alias("people"),
-    )
-    return out.where(F.col("chrom") == ("chr" + file.contig.removeprefix("chr"))) if file.contig else out, described
+    columns = heads.select("number", F.posexplode(F.slice(cell, FIXED + 1, F.greatest(F.size(cell) - FIXED, F.lit(0)))).alias("at", "sample"))
+    wanted = spark.createDataFrame([(k, s, p) for k, f in enumerate(files) for s, p in zip(f.samples, f.patients)], "number int, sample string, patient_num int")
+    missing = wanted.join(columns, ["number", "sample"], "left_anti").orderBy("number", "sample").first()
+    if missing:
+        raise ValueError(f"{files[missing['number']].path} has no sample {missing['sample']}")
+    return columns.join(wanted, ["number", "sample"]).select("number", "at", "patient_num")
+
+
+def _described(lines: DataFrame) -> DataFrame:
+    """(info_key, description) of the INFO headers; of several, the one of the last file."""
+    heads = lines.where(F.col("value").startswith("##INFO=<") & F.contains(F.col("value"), F.lit("ID=")))
+    key = F.rtrim(F.substring_index(F.regexp_extract("value", "ID=([^,]*)", 1), ",", 1), F.lit(">"))
+    words = heads.select(key.alias("info_key"), F.regexp_extract("value", 'Description="(.*)"', 1).alias("description"), "number")
+    return words.groupBy("info_key").agg(F.max_by("description", F.struct("number", "description")).alias("description"))
 
 
 def read_vcf(spark: SparkSession, files: list[VcfFile], observations: DataFrame | None = None) -> Dataset:
-    """The genomic tables of some files. Contigs stay apart in every table's layout, so reading all files or one contig's at a time comes to the same."""
-    calls, described = None, {}
-    for f in files:
-        own, words = _calls(spark, f)
-        described |= words
-        calls = own if calls is None else calls.unionByName(own)
+    """The genomic tables of some files. Contigs stay apart in every table's layout, so reading all files or one contig's at a time comes to the same.
+
+    All files are one scan. Records are stored once as parsed, with their calls other than reference ones by column; samples become patients by a join on
+    file and column, so neither the number of files nor that of samples is in the plan."""
+    lines = _lines(spark, files)
+    samples = _samples(spark, files, lines)
+    about = spark.createDataFrame([(k, f.annotated, None if f.contig is None else "chr" + f.contig.removeprefix("chr")) for k, f in enumerate(files)], "number int, annotated boolean, contig string")
+    cell = F.split("value", "\t")
+    rows = lines.where(~F.col("value").startswith("#") & (F.col("value") != "")).join(about, "number").select("number", "annotated", "contig", cell.alias("c"))
+    calls = F.transform(F.slice("c", FIXED + 1, F.greatest(F.size("c") - FIXED, F.lit(0))), lambda g, i: F.struct(i.alias("at"), fv.genotype_class(g).alias("zygosity")))
+    parsed = rows.select(
+        "number", "annotated", "contig", F.regexp_replace(F.get("c", 0), "^(?!chr)", "chr").alias("chrom"), F.get("c", 1).cast("int").alias("pos"), F.get("c", 3).alias("ref"), F.get("c", 4).alias("alt"),
+        F.get("c", 7).alias("info"), F.filter(calls, lambda x: x["zygosity"].isNotNull()).alias("calls"),
+    ).where("contig is null or chrom = contig")
     infos = fv.info_map(F.col("info"))
-    placed = calls.select("*", infos[GENE].alias("gene"), infos[CONSEQUENCE].alias("consequence"))
-    blank = lambda c: F.coalesce(F.col(c), F.lit("NULL"))
+    named = parsed.select("*", infos[GENE].alias("gene"), infos[CONSEQUENCE].alias("consequence"), F.expr(f"pos div {BUCKET}").cast("int").alias("bucket"))
     spec = fv.spec_column(F.col("chrom"), F.col("pos"), F.col("ref"), F.col("alt"), F.col("gene"), F.col("consequence"))
-    placed = placed.withColumn("spec", spec)
-    distinct = placed.select(
-        F.lit(0).alias("variant_id"), "spec", "chrom", "pos", "ref", "alt", blank("gene").alias("gene"), blank("consequence").alias("consequence"), F.expr(f"pos div {BUCKET}").cast("int").alias("bucket")
-    ).dropDuplicates(["spec"])
+    placed = written(spark, named.withColumn("spec", spec), "vcf")
+    blank = lambda c: F.coalesce(F.col(c), F.lit("NULL"))
+    distinct = placed.select(F.lit(0).alias("variant_id"), "spec", "chrom", "pos", "ref", "alt", blank("gene").alias("gene"), blank("consequence").alias("consequence"), "bucket").dropDuplicates(["spec"])
     variants = number_variants(distinct)
     ids = variants.select("spec", "variant_id")
-    genotypes = placed.select("spec", F.inline("people")).join(ids, "spec").select("variant_id", "patient_num", "zygosity").distinct()
+    people = placed.select("number", "spec", "chrom", "bucket", F.inline("calls")).join(samples, ["number", "at"]).select("spec", "patient_num", "zygosity", "chrom", "bucket").distinct()
+    genotypes = people.join(ids, "spec").select("variant_id", "patient_num", "zygosity", "chrom", "bucket")
     annotated = placed.where("annotated").join(ids, "spec")
     info = fv.exploded_info(annotated.select("variant_id", "info")).distinct()
     numeric = fv.numeric_columns(info)
-    names = spark.createDataFrame(list(described.items()) or [("", "")], "info_key string, description string")
     with_numbers = fv.with_numbers(info, numeric)
-    columns = numeric.join(names, "info_key", "left").join(with_numbers.groupBy("info_key").agg(F.min("info_num").alias("min"), F.max("info_num").alias("max")), "info_key").select("info_key", "description", "continuous", "min", "max")
-    metadata = placed.where("annotated").groupBy("spec", "chrom", F.expr(f"pos div {BUCKET}").cast("int").alias("bucket")).agg(F.array_sort(F.collect_set("info")).alias("info_raw"))
+    columns = numeric.join(_described(lines), "info_key", "left").join(with_numbers.groupBy("info_key").agg(F.min("info_num").alias("min"), F.max("info_num").alias("max")), "info_key").select("info_key", "description", "continuous", "min", "max")
+    metadata = placed.where("annotated").groupBy("spec", "chrom", "bucket").agg(F.array_sort(F.collect_set("info")).alias("info_raw"))
     if observations is None:
         observations = genotypes.select("patient_num", F.lit("\\").alias("concept_path"), F.lit(None).cast("double").alias("nval"), F.lit(None).cast("string").alias("tval"), F.lit(None).cast("bigint").alias("ts_ms"), F.lit(0).cast("bigint").alias("seq")).distinct()
     return Dataset(observations, variants, genotypes, with_numbers, columns, metadata)
