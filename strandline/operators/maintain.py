@@ -46,10 +46,12 @@ def merge_genomic(a: Dataset, b: Dataset) -> Dataset:
 def numbered(ordered: DataFrame, column: str) -> DataFrame:
     """Rows numbered from 0 in the order they have, partition after partition, without bringing them to one task."""
     # the place's upper bits are the partition, the lower ones the row in it; it is stored with the row, so that a partition made again can't be numbered otherwise
-    placed = written(ordered.sparkSession, ordered.drop(column).withColumn("place", F.monotonically_increasing_id()), "numbered").withColumn("range", F.shiftright("place", 33))
-    sizes = placed.groupBy("range").agg(F.count("*").alias("n"))
-    before = sizes.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("base"))  # one row a partition
-    return placed.join(before, "range").withColumn(column, F.col("base") + F.col("place") % (1 << 33)).drop("base", "range", "place")
+    kept = [c for c in ordered.columns if c != column]
+    at, part, base = (next(n for n in (f"_{w}{k}" for k in range(len(kept) + 1)) if n not in kept) for w in ("at", "part", "base"))
+    placed = written(ordered.sparkSession, ordered.drop(column).withColumn(at, F.monotonically_increasing_id()), "numbered").withColumn(part, F.shiftright(at, 33))
+    sizes = placed.groupBy(part).agg(F.count("*").alias("n"))
+    before = sizes.select(part, (F.sum("n").over(Window.orderBy(part)) - F.col("n")).alias(base))  # one row a partition
+    return placed.join(before, part).withColumn(column, F.col(base) + F.col(at) % (1 << 33)).drop(at, part, base)
 
 
 def number_variants(variants: DataFrame) -> DataFrame:

@@ -301,3 +301,14 @@ def test_pages(spark):
     assert [r["v"] for r in got.collect()] == [4, 5, 6, 7] and (total, pages) == (10, 3)
     with pytest.raises(ValueError):
         dictionary.page(rows, [F.col("v")], 0, 4)
+
+
+def test_numbered_under_any_name(spark):
+    """Rows keep their order, also where a column has the asked name or one used inside."""
+    from strandline.operators.maintain import numbered
+
+    rows = spark.range(0, 1000, numPartitions=7).selectExpr("id", "id AS place", "id AS `a.b`", "id AS _at0", "id AS _part0")
+    for name in ("place", "n"):
+        got = numbered(rows.orderBy(rows["id"].desc()), name)
+        assert {(r["id"], r[name]) for r in got.collect()} == {(k, 999 - k) for k in range(1000)}
+        assert set(got.columns) == set(rows.columns) | {name}
