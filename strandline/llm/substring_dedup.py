@@ -15,6 +15,7 @@ repeats inside one text counts too. Rows sharing a doc_id are one document (see
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,11 +28,23 @@ from strandline.llm import common, kernel
 from strandline.llm.kernel import U
 
 K, M = 50, 4
+#: Words or windows compared at a time: all of them are, whatever their number.
+PART = 1 << 16
+#: Stored bytes of the input, in MB, for each bucket; a bucket's windows are in memory together.
+MB_EACH = 4.0
 _PACKED = "bucket int, ids binary, starts binary, words binary, text binary"
 _PACKED_ARROW = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("ids", "starts", "words", "text"))])
 _RUN_ARROW = pa.schema([("doc_id", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("firsts", pa.int32()), ("most", pa.int64())])
 
 
+def _give_back() -> None:
+    """Freed memory goes back to the system, as Spark uses a worker again and again; without glibc nothing is done."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def super_kmers(words: kernel.Words, k: int = K, m: int = M) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(minimiser hash, first word, windows, text) of each super-k-mer."""
     at, doc = kernel.inside(words.first, k)
@@ -49,6 +62,7 @@ def _spread(bits: int, k: int, m: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
         for whole in batches:
+            _give_back()
             for batch in kernel.slices(whole):
                 words = kernel.Words(batch.column(1))
                 gram, first, count, doc = super_kmers(words, k, m)
@@ -74,17 +88,31 @@ def _spread(bits: int, k: int, m: int):
     return run
 
 
-def unequal_words(data: np.ndarray, start: np.ndarray, stop: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Words that differ in their bytes from the first word of the same hash."""
-    _, first, back = np.unique(h, return_index=True, return_inverse=True)
-    like = first[back]
-    size = stop - start
-    apart = size != size[like]
-    some = np.flatnonzero(~apart & (like != np.arange(len(h))))
-    if len(some):
-        same = data[kernel.spans(start[some], size[some])] == data[kernel.spans(start[like[some]], size[some])]
-        apart[some] = ~np.logical_and.reduceat(same, np.cumsum(size[some]) - size[some])
-    return apart
+def unequal_words(data: np.ndarray, stop: np.ndarray, h: np.ndarray, held: np.ndarray) -> bool:
+    """Whether words (those ``held``; each ends at ``stop``) of one hash differ in their bytes. ``PART`` words at a time are compared with the first word of
+    their hash, so that what is in memory besides is one entry a distinct word."""
+    seen, seen_start, seen_stop = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for lo in range(0, len(h), PART):
+        some = lo + np.flatnonzero(held[lo : lo + PART])
+        if not len(some):
+            continue
+        e = stop[some].astype(np.int64)
+        b = np.where(some > 0, stop[some - 1].astype(np.int64) + 1, 0)
+        own, first, back = np.unique(h[some], return_index=True, return_inverse=True)
+        start, end = b[first], e[first]
+        if len(seen):
+            at = np.minimum(np.searchsorted(seen, own), len(seen) - 1)
+            old = seen[at] == own
+            start[old], end[old] = seen_start[at[old]], seen_stop[at[old]]
+        else:
+            old = np.zeros(len(own), bool)
+        size = e - b
+        like, limit = start[back], end[back]
+        if (limit - like != size).any() or (data[kernel.spans(b, size)] != data[kernel.spans(like, size)]).any():
+            return True
+        into = np.searchsorted(seen, own[~old])
+        seen, seen_start, seen_stop = (np.insert(x, into, y[~old]) for x, y in ((seen, own), (seen_start, start), (seen_stop, end)))
+    return False
 
 
 def unequal_windows(h: np.ndarray, at: np.ndarray, like: np.ndarray, k: int) -> np.ndarray:
@@ -102,7 +130,8 @@ def unequal_windows(h: np.ndarray, at: np.ndarray, like: np.ndarray, k: int) ->
 def grouped(one: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order that puts equal values next to each other, size of each run)."""
     order = np.argsort(one, kind="stable")
-    head = np.flatnonzero(np.concatenate([[True], one[order][1:] != one[order][:-1]]))
+    one = one[order]
+    head = np.flatnonzero(np.concatenate([[True], one[1:] != one[:-1]]))
     return order, np.diff(np.append(head, len(order)))
 
 
@@ -110,8 +139,10 @@ def _count(k: int):
     """In one bucket: runs of windows that occur more than once, within each super-k-mer. Windows are sorted by hash; those of one hash are then compared, words by their bytes and windows word by word."""
 
     def run(t: pa.Table) -> pa.Table:
+        _give_back()
         expand = zstandard.ZstdDecompressor()
-        parts, blobs, words = [], [], 0
+        parts: list[list[np.ndarray]] = [[] for _ in range(6)]
+        blobs, words = [], 0
         for own, begin, count, text in zip(*(t[c].to_pylist() for c in ("ids", "starts", "words", "text"))):  # a map task's share at a time
             data = np.frombuffer(expand.decompress(text), np.uint8)
             stop = np.flatnonzero(data == 32)
@@ -119,25 +150,34 @@ def _count(k: int):
             bounds = np.concatenate([[0], np.cumsum(np.frombuffer(count, "<u4").astype(np.int64))])
             at, kmer = kernel.inside(bounds, k)
             place = (np.frombuffer(begin, "<u4").astype(np.int64)[kmer] + at - bounds[kmer]).astype(np.int32)
-            parts.append((np.frombuffer(own, "<i8"), kmer.astype(np.int32), kernel.windows(h, k, 31)[at], at + words, place, h))
+            for part, column in zip(parts, (np.frombuffer(own, "<i8"), kmer.astype(np.int32), kernel.windows(h, k, 31)[at], at + words, place, h)):
+                part.append(column)
             blobs.append(data)
             words += len(h)
-        lead = np.cumsum([0, *(len(p[0]) for p in parts)])
-        ids, one, at, place, h = (np.concatenate([p[i] for p in parts]) for i in (0, 2, 3, 4, 5))
-        owner = np.concatenate([p[1] + np.int32(n) for p, n in zip(parts, lead)])
+        lead = np.cumsum([0, *map(len, parts[0])])
+        parts[1] = [kmer + np.int32(n) for kmer, n in zip(parts[1], lead)]
+        whole = []
+        while parts:  # a column at a time, so that only one is there twice
+            whole.append(np.concatenate(parts.pop(0)))
+        ids, owner, one, at, place, h = whole
         data = np.concatenate(blobs)
-        del parts, blobs
+        del whole, blobs
         order, size = grouped(one)
         again = np.repeat(size > 1, size)
         if again.any():
-            like = np.empty(len(one), np.int64)
-            like[order] = np.repeat(order[np.cumsum(size) - size], size)
-            twice = np.sort(order[again])
-            held = np.flatnonzero(np.cumsum(np.bincount(at[twice], minlength=words + 1) - np.bincount(at[twice] + k, minlength=words + 1))[:-1] > 0)
-            stop = np.flatnonzero(data == 32)
-            start = np.concatenate([[0], stop[:-1] + 1])
-            strange = unequal_words(data, start[held], stop[held], h[held])
-            if strange.any() or unequal_windows(h, at[twice], at[like[twice]], k).any():  # a hash has let us down: by the bytes themselves
+            twice = order[again]
+            by = np.argsort(twice)
+            twice, like = twice[by], np.repeat(order[(np.cumsum(size) - size)[size > 1]], size[size > 1])[by]
+            del by
+            held = np.zeros(words + 1, np.int32)
+            held[at[twice]] = 1
+            held[at[twice] + k] -= 1
+            held = np.cumsum(held, out=held)[:-1] > 0
+            stop = np.flatnonzero(data == 32).astype(np.int32 if len(data) < 1 << 31 else np.int64)
+            strange = unequal_words(data, stop, h, held)
+            del held
+            if strange or any(unequal_windows(h, at[twice[lo : lo + PART]], at[like[lo : lo + PART]], k).any() for lo in range(0, len(twice), PART)):  # a hash has let us down: by the bytes themselves
+                start = np.concatenate([[0], stop[:-1] + 1])
                 texts: dict[tuple[int, bytes], int] = {}
                 for i in twice:
                     one[i] = texts.setdefault((int(one[i]), data[start[at[i]] : stop[at[i] + k - 1]].tobytes()), len(texts))
@@ -146,6 +186,7 @@ def _count(k: int):
                 one[alone] = np.arange(len(texts), len(texts) + int(alone.sum()))
                 order, size = grouped(one)
                 again = np.repeat(size > 1, size)
+        one = at = h = data = like = twice = stop = None
         times = np.empty(len(order), np.int64)
         times[order] = np.repeat(size, size)
         first = np.zeros(len(order), bool)
@@ -168,7 +209,7 @@ def _count(k: int):
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
     """(doc_id, start_word, n_words, windows, first_windows, max_copies) of each maximal run of windows that occur more than once; words count from 0."""
-    bits = max(3, (common.bucket_count(spark, docs) - 1).bit_length())
+    bits = max(3, (common.bucket_count(spark, docs, MB_EACH) - 1).bit_length())
     packed = common.one_row_per_id(spark, docs).where("text is not null").mapInArrow(_spread(bits, k, m), _PACKED)
     runs = packed.groupBy("bucket").applyInArrow(_count(k), "doc_id long, a int, b int, firsts int, most long")
     # runs of neighbouring super-k-mers are joined where one's last window comes right before the other's first
