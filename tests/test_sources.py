@@ -1,5 +1,8 @@
 import io
+import os
 import re
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -92,6 +95,20 @@ def test_database(spark):
     assert sorted((r["patient_num"], r["nval"], r["ts_ms"]) for r in got.collect()) == [(1, 5.0, None), (2, 2.5, 77)]
 
 
+def test_database_on_a_cluster(sf_dir, tmp_path):
+    """Executors are processes of their own here, so a database in one's memory is nothing to the others."""
+    code = f"""
+import __spark_entry__ as entry
+from pyspark.sql import SparkSession
+conf = {{"spark.executor.memory": "512m", "spark.ui.enabled": "false", "spark.driver.host": "127.0.0.1", "spark.checkpoint.dir": "file://{tmp_path}/shared"}}
+spark = SparkSession.builder.master("local-cluster[2,1,1024]").config(map=conf).getOrCreate()
+print("rows", entry.queries()["jdbc_load"](spark, "{sf_dir}").count(), spark.read.parquet("{sf_dir}/customer.parquet").count())
+"""
+    out = subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(os.path.dirname(__file__)), capture_output=True, text=True, timeout=300)
+    rows, expected = re.search(r"rows (\d+) (\d+)", out.stdout).groups()
+    assert rows == expected != "0"
+
+
 def test_dictionary_edges(spark):
     cols = spark.createDataFrame([("Gene", "a GENE name"), ("Freq", None)], "info_key string, description string")
     assert [r["info_key"] for r in dictionary.search_info_columns(cols, "NAME").collect()] == ["Gene"]
