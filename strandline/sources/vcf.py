@@ -42,6 +42,7 @@ def parse_index(text: str) -> list[VcfFile]:
             raise ValueError(f'bad VCF index: line {number}, column {column + 1}. Value = "{shown}"') from e
 
     out = []
+    csv.field_size_limit(max(csv.field_size_limit(), len(text)))  # a field lists all samples of a file
     for number, row in enumerate(csv.reader(io.StringIO(text), delimiter="\t"), 1):
         if number == 1 or not row:
             continue

@@ -147,6 +147,13 @@ def test_index():
         assert all(w in str(e.value) for w in words)
 
 
+def test_index_of_many_samples():
+    """A field longer than the csv module's limit of 131,072 signs."""
+    ids = range(40_000)
+    (file,) = vcf.parse_index(INDEX + f'"a.vcf"\t"ALL"\t"1"\t"0"\t"{",".join(f"S{i}" for i in ids)}"\t"{",".join(map(str, ids))}"\n')
+    assert len(file.samples) == 40_000 and file.patients == tuple(ids)
+
+
 VCF = """##fileformat=VCFv4.2
 ##INFO=<ID=Gene_with_variant,Number=.,Type=String,Description="A gene, or several">
 ##INFO=<ID=Freq,Number=1,Type=Float,Description="How often">
