@@ -210,6 +210,11 @@ def test_excerpts(genome):
     assert [tuple(r) for r in wide.collect()] == [("chr4", 1000, "A", "G", "0.25", "AAA", "2/3", "0/1", "0/1", "1/1", "0/0"), ("chr4", 1999, "C", "T", "0.5", "AAA", "1/3", "0/1", "0/0", "0/0", "0/1")]
     assert variants.excerpt_text(genome, Query()) == variants.NO_VARIANTS
     assert len(variants.excerpt_wide(genome, q, with_patients=False).columns) == 4 + 3 + 2
+    cells = {tuple(r)[:8] + (r["patient"], r["zygosity"]) for r in variants.excerpt_cells(genome, q, "Freq,Gene_with_variant").collect()}
+    assert cells == {tuple(r)[:8] + (c, r[c]) for r in wide.collect() for c in wide.columns[8:]}
+    text = ["\t".join(map(str, r)) for r in [wide.columns, *wide.collect()]]
+    assert variants.excerpt_text(genome, q, "Freq,Gene_with_variant") == "\n".join(text) + "\n"
+    assert variants.excerpt_text(genome, q, with_patients=False).splitlines()[0].split("\t") == variants.excerpt_wide(genome, q, with_patients=False).columns
 
 
 def test_headers_of_any_length_and_files_of_other_samples(spark, tmp_path):
