@@ -217,6 +217,12 @@ def test_excerpts(genome):
     assert variants.excerpt_text(genome, q, with_patients=False).splitlines()[0].split("\t") == variants.excerpt_wide(genome, q, with_patients=False).columns
 
 
+def test_no_variants_without_patients(genome, monkeypatch):
+    """Where nothing is listed, no patient is brought to the driver or put into a plan."""
+    monkeypatch.setattr(variants, "_excerpt", None)
+    assert variants.excerpt_text(genome, Query()) == variants.NO_VARIANTS
+
+
 def test_headers_of_any_length_and_files_of_other_samples(spark, tmp_path):
     more = "".join(f"##contig=<ID=c{k}>\n" for k in range(150_000))
     lines = VCF.split("\n", 1)
