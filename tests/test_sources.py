@@ -313,6 +313,21 @@ def test_store_round_trip(spark, genome, tmp_path):
         assert sorted(map(str, getattr(back, t).select(cols).collect())) == sorted(map(str, getattr(genome, t).collect()))
 
 
+def test_a_store_runs_each_plan_once(spark, tmp_path):
+    """Ranges are sampled from, and the dictionary made of, a staged copy."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = [(k, "\\a\\", float(k), None, None, k) for k in range(50)]
+    observations = spark.createDataFrame(rows, schema.OBSERVATIONS).mapInArrow(passed, schema.OBSERVATIONS)
+    schema.save(schema.Dataset(observations), str(tmp_path / "ds"))
+    assert seen.value == 50 and schema.load(spark, str(tmp_path / "ds")).dictionary().first()["observation_count"] == 50
+
+
 def test_maintenance(spark, genome):
     mapping = spark.createDataFrame([(11, 1)], "old_id int, new_id int")
     assert 1 in {r["patient_num"] for r in maintain.remap_patients(genome.genotypes, mapping).collect()}
