@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import observations as fo
+from strandline.sources.scratch import dropped
 
 COLUMNS = ("patient", "path", "number", "text", "stamp")
 _RAW = ", ".join(f"{c} string" for c in COLUMNS)
@@ -120,6 +121,25 @@ def write_csv(observations: DataFrame, path: str) -> None:
     source_rows(observations).write.csv(path, header=True, escape='"')
 
 
+def write_csv_file(observations: DataFrame, path: str) -> None:
+    """The same dump as a folder of a single file with a single header: parts are written side by side, then joined byte by byte in this process's JVM, which holds a buffer of them."""
+    from strandline.operators.maintain import source_rows
+
+    spark, rows = observations.sparkSession, source_rows(observations)
+    rows.write.csv(path + "-parts", escape='"')
+    hadoop, conf = spark._jvm.org.apache.hadoop, spark._jsc.hadoopConfiguration()
+    parts = hadoop.fs.Path(path + "-parts/part-*")
+    fs = parts.getFileSystem(conf)
+    out = fs.create(hadoop.fs.Path(path + "/part-00000.csv"))
+    out.write(bytearray((",".join(rows.columns) + "\n").encode()))
+    for part in fs.globStatus(parts):
+        source = fs.open(part.getPath())
+        hadoop.io.IOUtils.copyBytes(source, out, 1 << 20, False)
+        source.close()
+    out.close()
+    dropped(spark, path + "-parts")
+
+
 def read_concept_details(spark: SparkSession, path: str) -> DataFrame:
     """Optional descriptions of concepts: (concept_path, display, dataset, description, drs_uri array<string>), one JSON object a line."""
     return spark.read.schema("concept_path string, display string, dataset string, description string, drs_uri array<string>").json(path)

@@ -125,6 +125,15 @@ def test_dump_is_read_again(spark, tmp_path):
     assert {r[:5] for r in map(tuple, back.collect())} == {r[:5] for r in rows}
 
 
+def test_one_file_is_written_side_by_side(spark, tmp_path):
+    rows = spark.range(100, numPartitions=4).selectExpr("cast(id as int) patient_num", "'\\\\a\\\\' concept_path", "cast(null as double) nval", "'x \"y\", z' tval", "id ts_ms", "id seq")
+    phenotypes.write_csv_file(rows, str(tmp_path / "one"))
+    (file,) = (tmp_path / "one").glob("*.csv")
+    assert file.read_text().count("PATIENT_NUM") == 1 and len(file.read_text().splitlines()) == 101
+    back = phenotypes.read_csv(spark, str(tmp_path / "one"), phenotypes.LOW_MEMORY)
+    assert sorted((r["patient_num"], r["concept_path"], r["tval"], r["ts_ms"]) for r in back.collect()) == [(k, "\\a\\", 'x "y", z', k) for k in range(100)]
+
+
 def test_stream_takes_new_files_once(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.csv").write_text(HEADER + "1,\\a\\,1,,\n")
