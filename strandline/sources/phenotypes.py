@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import observations as fo
-from strandline.sources.scratch import dropped
+from strandline.sources.scratch import dropped, written
 
 COLUMNS = ("patient", "path", "number", "text", "stamp")
 _RAW = ", ".join(f"{c} string" for c in COLUMNS)
@@ -43,7 +43,7 @@ def read_config(path_or_text: str) -> dict[str, dict]:
 
 def quoted_line_ends(spark: SparkSession, paths: str | list[str]) -> bool:
     """Whether some quoted field holds a line end: then, and only then, a line has an odd number of quotes."""
-    return bool(spark.read.text(paths).where("length(value) - length(replace(value, '\"', '')) & 1 = 1").limit(1).count())
+    return bool(spark.read.text(paths).where("contains(value, '\"') and length(value) - length(replace(value, '\"', '')) & 1 = 1").limit(1).count())
 
 
 def raw_csv(spark: SparkSession, paths: str | list[str], header: bool = False) -> DataFrame:
@@ -55,13 +55,15 @@ def raw_csv(spark: SparkSession, paths: str | list[str], header: bool = False) -
     rows = df.select(*COLUMNS, F.col("_metadata.file_path").alias("file"), (F.col("_metadata.file_block_start") + F.monotonically_increasing_id() % (1 << 33)).alias("place"))
     listed = spark.read.format("binaryFile").load(paths).select(F.col("_metadata.file_path").alias("file")).distinct()
     ranked = listed.select("file", (F.row_number().over(Window.orderBy("file")) - 1).cast("bigint").alias("rank"))  # one row a file
-    return rows.where("patient is not null and path is not null").join(ranked, "file").select(*COLUMNS, "file", (F.shiftleft("rank", 42) + F.col("place")).alias("seq"))
+    return rows.where("patient is not null and path is not null").join(F.broadcast(ranked), "file").select(*COLUMNS, "file", (F.shiftleft("rank", 42) + F.col("place")).alias("seq"))
 
 
 def normalise(raw: DataFrame, mode: Mode = PLAIN, config: dict[str, dict] | None = None) -> DataFrame:
-    """Observations of raw records (``COLUMNS``, ``file``, ``seq``): cleaned paths, typed values, a concept's type fixed by its first record."""
-    text = fo.clean(F.col("text"))
-    path = fo.normal_path(fo.clean(F.col("path")), mode.micro)
+    """Observations of raw records (``COLUMNS``, ``file``, ``seq``): cleaned paths, typed values, a concept's type fixed by its first record.
+
+    Cleaned records are stored: types need all of them, then each of them again, and files aren't parsed twice. Each step that later ones use more than once is a projection of its own."""
+    raw = raw.withColumns({c: fo.clean(F.col(c)) for c in ("path", "text")}).withColumn("path", fo.normal_path(F.col("path"), mode.micro))
+    text, path = F.col("text"), F.col("path")
     if mode.roll_up:
         path = fo.rolled_up(path, text)
     name = F.lit(None).cast("string")
@@ -72,7 +74,7 @@ def normalise(raw: DataFrame, mode: Mode = PLAIN, config: dict[str, dict] | None
         F.trim("patient").try_cast("int").alias("patient_num"), fo.rooted(path, name).alias("concept_path"), fo.number(F.col("number"), text, mode.coerce).alias("nval"),
         text.alias("tval"), fo.millis(F.col("stamp"), mode.strict_time).alias("ts_ms"), "seq",
     )
-    return fo.typed_by_first(records.where("patient_num is not null"))
+    return fo.typed_by_first(written(raw.sparkSession, records.where("patient_num is not null"), "records"))
 
 
 def _numbered(raw: DataFrame) -> DataFrame:
