@@ -20,7 +20,7 @@ def clean(text: Column) -> Column:
 
 def normal_path(path: Column, micro: bool = False) -> Column:
     """Segments trimmed, with one backslash after the last; with ``micro``, the micro sign is a separator too."""
-    raw = F.translate(path, "µ", "\\") if micro else path
+    raw = F.replace(path, F.lit("µ"), F.lit("\\")) if micro else path
     body = F.regexp_replace(raw, r"\\+$", "")
     trimmed = F.concat(F.array_join(F.transform(F.split(body, r"\\"), lambda x: F.trim(x)), "\\"), F.lit("\\"))
     # most paths are so already, which is told without taking them apart
